@@ -8,7 +8,23 @@ from pyspark.sql import functions as F
 
 from .bpe_tokens import encode_decode, rank_file
 from .common import Query, setup, table
+from .decontaminate import contained_items
 from .exact_dedup import exact_dedup
+from .minimax_shards import minimax_shards
+from .sstable import token_shards
+from .tensor_minhash import minhash_dedup
+
+
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = spark.sparkContext.broadcast(f.read())
+    return token_shards(table(spark, sf_dir, "documents"), tokenizer, end_id=2, width=2, drops_blanks=True).drop("file")
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +39,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest_")).alias("text_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe_tokens, op6_exact_dedup)}
+def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    placed = minimax_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op3_minhash, op5_bpe_tokens, op6_exact_dedup, op8_minimax_shards, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
@@ -31,4 +58,31 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op10_decontaminate": r"""
+        WITH words AS (
+          SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+          UNION ALL
+          SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+        items AS (
+          SELECT id AS item_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS s
+          FROM (SELECT id, w, least(5, len(w)) AS k FROM words WHERE side = 'i' AND len(w) > 0)),
+        docs AS (
+          SELECT id AS doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS s
+          FROM words, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(w) >= k),
+        sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+        FROM docs JOIN items USING (k, s) JOIN sizes USING (item_id)
+        GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""",
+    "op3_minhash": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
+        FROM sets LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
 }
