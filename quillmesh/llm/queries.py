@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .bpe_tokens import encode_decode, rank_file
 from .common import Query, setup, table
 from .decontaminate import contained_items
@@ -27,6 +28,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def held_out(doc_id: Column) -> Column:
+    """The rows whose labels no training sees."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), held_out=held_out)
+    return quality.scored(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     setup(spark)
     ranks = rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -39,6 +52,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest_")).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=held_out)
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     setup(spark)
     placed = minimax_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -50,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op3_minhash, op5_bpe_tokens, op6_exact_dedup, op8_minimax_shards, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

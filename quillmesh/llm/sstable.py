@@ -187,16 +187,22 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 class ChunkIds(dict):
     """Id bytes of white-space-free chunks, remembered up to a bound."""
 
-    BOUND = 700_000
+    BOUND = 1_200_000
+    #: Never within one match with a letter or digit before them.
+    TAIL = ".,;:!?%&$#*"
 
     def __init__(self, tokenizer: Tokenizer, dtype: str):
         self.tokenizer, self.dtype = tokenizer, dtype
+        self.folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("Aa") == "aa"
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.BOUND:
             self.clear()
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():  # never within one match
-            value = self[chunk[:-1]] + self[chunk[-1]]
+        core = chunk.rstrip(self.TAIL)
+        if core and core != chunk and core[-1].isalnum():
+            value = self[core] + self[chunk[len(core) :]]
+        elif chunk.isascii() and chunk.isalpha() and not chunk.islower() and self.folds:
+            value = self[chunk.lower()]
         else:
             value = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         self[chunk] = value
