@@ -11,6 +11,7 @@ from .bpe_tokens import encode_decode, rank_file
 from .common import Query, setup, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup
+from .html_text import page_texts
 from .minimax_shards import minimax_shards
 from .sstable import token_shards
 from .tensor_minhash import minhash_dedup
@@ -23,6 +24,11 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), tokenizer, end_id=2, width=2, drops_blanks=True).drop("file")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     setup(spark)
     return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
@@ -71,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op2_html_text, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
