@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .html_text import page_texts
 from .minimax_shards import minimax_shards
 from .sstable import token_shards
+from .suffix_dedup import suffix_dedup
 from .tensor_minhash import minhash_dedup
 
 
@@ -72,12 +73,17 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     setup(spark)
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op2_html_text, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op2_html_text, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op9_suffix_dedup, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
