@@ -1,8 +1,69 @@
-"""The corpus pipeline: stages over `documents`, each written and read again."""
+"""The corpus pipeline: toxic documents, copies, near copies and benchmark leaks go, the rest is encoded.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of `documents`; each result is written as Parquet in the
+shared folder and read again. Rows with a null id pass the stages that name documents by
+id; rows that repeat an id and a text are one document after exact dedup.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.llm import toxicity
+from quillmesh.llm.bpe_tokens import encode_decode, rank_file
+from quillmesh.llm.common import materialize, scratch, setup, table
+from quillmesh.llm.decontaminate import without_items
+from quillmesh.llm.exact_dedup import exact_dedup
+from quillmesh.llm.queries import held_out
+from quillmesh.llm.tensor_minhash import minhash_dedup
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    setup(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=held_out)
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    setup(spark)
+    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    kept = exact_dedup(docs, keep_columns=True).filter("kept").select(docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    setup(spark)
+    dropped = minhash_dedup(docs, words=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return encode_decode(docs, rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("minhash_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the network nor the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), scratch(spark, f"stage-{name}"))
+    return docs
