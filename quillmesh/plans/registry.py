@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "near_duplicate_pairs"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import scalars  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "f03_title_words"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
