@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalars  # noqa: F401
+from . import items, scalars  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "f03_title_words"
