@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import items, scalars  # noqa: F401
+from . import items, scalars, stories  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "f03_title_words"
+FLAGSHIP = "near_duplicate_pairs"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
