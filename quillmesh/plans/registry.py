@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import items, ranking, scalars, stories  # noqa: F401
+from . import history, items, ranking, scalars, stories  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "near_duplicate_pairs"
