@@ -65,7 +65,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cluster_id, article_id, unit_id: stories of items, near-duplicate units within them."""
     i = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(((i * 31) % 257).alias("cluster_id"), i.alias("article_id"), ((i * 31) % 257 * 4 + i % 4).alias("unit_id"))
+    return read(spark, sf_dir, "documents").select(((i * 31) % 257).alias("cluster_id"), i.alias("article_id"), ((i * 31) % 257 * 4 + i % 2).alias("unit_id"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ CTES = {
         CASE WHEN k % 5 = 0 THEN 'wire' || (k // 10) ELSE source_id END AS syndication_group, k % 4 = 0 AS paywall
         FROM (SELECT DISTINCT source AS source_id, CAST(substr(source, 4) AS INT) AS k FROM documents)
         JOIN nation ON k % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
-    "members": "members AS (SELECT (doc_id * 31) % 257 AS cluster_id, doc_id AS article_id, (doc_id * 31) % 257 * 4 + doc_id % 4 AS unit_id FROM documents)",
+    "members": "members AS (SELECT (doc_id * 31) % 257 AS cluster_id, doc_id AS article_id, (doc_id * 31) % 257 * 4 + doc_id % 2 AS unit_id FROM documents)",
     "history": """history AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'shown' WHEN 'click' THEN 'opened' WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' WHEN 'signup' THEN 'save' END AS kind,
         event_id * 13 % 1000 AS article_id, ts, value FROM events)""",
     "runs": """runs AS (SELECT 'src' || (user_id % 20) AS source_id, event_id AS run, CASE WHEN event_type = 'error' THEN 'error' WHEN value < 20 THEN 'empty' ELSE 'ok' END AS state,
