@@ -11,10 +11,10 @@ distributed by content:
 3. The strings of a shared anchor occurrence form one context. Equal strings have equal
    anchors, so suffixes are dealt over the cluster by anchor: each task sorts the
    suffixes of its different contexts and compares adjacent prefixes of 50 bytes; the
-   strings of a class belong to its smallest document.
-4. An anchor with very many contexts is dealt string by string instead.
-5. Each occurrence looks up its context: all its strings go if a smaller document has
-   the context, else those that the classes name. Runs are cut from the chunks.
+   strings of a class belong to its smallest document. All strings of an occurrence go
+   if a smaller document has its context, else those that the classes name.
+4. An anchor with very many occurrences is folded and dealt string by string instead.
+5. Runs are cut from the chunks.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ CHUNK_BYTES = 16 << 20
 ARRAY_BYTES = 1 << 20
 #: Bytes of text whose anchors are found at a time.
 STEP = 192 << 10
-#: Different contexts an anchor beyond which its strings are dealt one by one: one part in so many of all.
-HOT_ANCHORS = 100_000
+#: An anchor is hot with more than so many occurrences, and more than one part in HOT_ANCHORS of all.
+ANCHOR_ROWS, HOT_ANCHORS = 4096, 100_000
 #: Stands for a null id, which ranks below all others.
 NULL_ID = -(2**63)
 #: Names stand for 81 bytes after so many rounds, more than LENGTH.
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = max(12, math.ceil(total / CHUNK_BYTES))
     bins = max(12, math.ceil(chunks / 3))
     name, where = f"quillmesh_chunks_{uuid.uuid4().hex[:12]}", scratch(spark, "chunks")
-    folded(rows, chunks).write.format("parquet").option("path", where).bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(name)
+    folded(rows, chunks).write.format("parquet").option("compression", "zstd").option("path", where).bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(name)
     texts = spark.table(name)
     settle(spark)
 
@@ -204,41 +204,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits = {b: x for b, x in zip(flag.column("bin").to_pylist(), flag.column("bits").to_pylist(), strict=True)}
         hit = np.concatenate([np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(n)).astype(bool) if b in bits else np.zeros(n, bool) for b, n in enumerate(np.diff(cut))])
         shared = code[hit]
-        who, where_, made = [], [], []
+        who, where_, made, hashes = [], [], [], []
         if len(shared):
-            for text, first, last, at, h in anchors(data):
+            for text, first, last, _, h in anchors(data):
                 c = codes(h, bins)
                 some = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, c), len(shared) - 1)] == c)
-                for t, a, b, o in zip(text[some].tolist(), first[some].tolist(), last[some].tolist(), at[some].tolist(), strict=True):
-                    who.append(t)
-                    where_.append(a)
-                    made.append(data[t][a : b + LENGTH] + bytes((o - a,)))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(who), pa.int64()), "digest": pa.array([digests[t] for t in who], pa.binary()), "doc_id": pa.array([ids[t] for t in who], pa.int64()), "pos": pa.array(where_, pa.int64()), "context": pa.array(made, pa.binary())})
+                who += text[some].tolist()
+                where_ += first[some].tolist()
+                made += [data[t][a : b + LENGTH] for t, a, b in zip(text[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True)]
+                hashes.append(h[some].view(np.int64))
+        key_of, id_of = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64), np.array(ids, np.int64)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(who), pa.int64()), "of": pa.array(key_of[who] if who else [], pa.int64()), "doc_id": pa.array(id_of[who] if who else [], pa.int64()), "pos": pa.array(where_, pa.int32()), "anchor": pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), "context": pa.array(made, pa.binary())})
 
     found_at = scratch(spark, "contexts")
-    found = texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(contexts, "chunk long, digest binary, doc_id long, pos long, context binary")
+    found = texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(contexts, "chunk long, of long, doc_id long, pos int, anchor long, context binary")
     found = materialize(found, found_at)
     settle(spark)
-    folds_at = scratch(spark, "folds")
-    folds = materialize(found.groupBy("context").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_context")), folds_at)
-    settle(spark)
-    masks_at = scratch(spark, "masks")
-    masks = materialize(class_masks(folds).select(F.unhex(F.md5("context")).alias("key"), "first", "n_context", "mask"), masks_at)
-    settle(spark)
-    met = skew_join(found.select("chunk", "digest", "doc_id", "pos", (F.octet_length("context") - LENGTH).alias("strings"), F.unhex(F.md5("context")).alias("key")), masks, "key", F.col("doc_id") + F.col("pos"), masks.agg(F.sum("n_context")).first()[0] or 0, counts="n_context")
-    mask = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1, strings) - 1")).otherwise(F.col("mask"))
     gone_at = scratch(spark, "gone")
-    gone = materialize(met.select("chunk", F.col("digest").alias("of"), "pos", mask.alias("mask")).filter("mask != 0"), gone_at)
+    gone = materialize(removed_strings(found), gone_at)
     settle(spark)
 
     def cut(key, tab, marks):
-        place: dict[bytes, list[int]] = {}
+        place: dict[int, list[int]] = {}
         for i, d in enumerate(marks.column("of").to_pylist()):
             place.setdefault(d, []).append(i)
         pos, masks_ = marks.column("pos").to_numpy(), marks.column("mask").to_numpy().astype(np.int64)
         removed, spans, shas = [], [], []
         for digest, data in zip(tab.column("digest").to_pylist(), tab.column("data").to_pylist(), strict=True):
-            which = place.get(digest)
+            which = place.get(int.from_bytes(digest[:8], "little", signed=True))
             if not which:
                 removed.append(0)
                 spans.append(0)
@@ -256,60 +249,84 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = texts.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(cut, "digest_ binary, rep long, n_removed long, n_spans long, kept_sha256 string")
     judged = materialize(judged, scratch(spark, "judged"))
     spark.sql(f"DROP TABLE {name}")
-    remove(spark, where, flags_at, found_at, folds_at, masks_at, gone_at)
+    remove(spark, where, flags_at, found_at, gone_at)
     settle(spark)
     text = F.coalesce(F.col("text_"), F.lit(""))
     return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), judged
 
 
-def class_masks(folds: DataFrame) -> DataFrame:
-    """(context, first, n_context, mask): bit i of mask is set where a smaller document than
-    `first` has the context's string i. A context's last byte is where its anchor starts."""
-    spark = folds.sparkSession
-    size = folds.count()
-    offset = "cast(conv(hex(substring(context, -1, 1)), 16, 10) as int)"
-    keyed = folds.withColumn("anchor", F.xxhash64(F.expr(f"substring(context, {offset} + 1, {GRAM})")))
-    share = max(32, math.ceil(size / HOT_ANCHORS))
-    hot = keyed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).select(F.col("anchor").alias("hot_anchor"))
-    hot = F.broadcast(materialize(hot, scratch(spark, "hot")))  # HOT_ANCHORS rows at most
+def removed_strings(found: DataFrame) -> DataFrame:
+    """(chunk, of, pos, mask): bit i of mask is set where string i of the occurrence at pos goes."""
+    spark = found.sparkSession
+    size = found.count()
+    share = max(ANCHOR_ROWS, math.ceil(size / HOT_ANCHORS))
+    hot = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).select(F.col("anchor").alias("hot_anchor"))
+    hot = materialize(hot, scratch(spark, "hot"))
+    some = F.broadcast(hot)  # HOT_ANCHORS rows at most
+    kinds = (("chunk", pa.int64()), ("of", pa.int64()), ("pos", pa.int32()), ("mask", pa.int32()))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        volume, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            text, first, n, _ = zip(*held, strict=True)
-            masks = string_masks([t[:-1] for t in text], np.array(first, np.int64), [h[3] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(masks, pa.int32())], names=["context", "first", "n_context", "mask"])
+        held: list[pa.RecordBatch] = []
+        volume = 0
+
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            tab = pa.Table.from_batches(parts).combine_chunks()
+            coded = tab.column("context").chunk(0).dictionary_encode()
+            index, doc = coded.indices.to_numpy(), tab.column("doc_id").to_numpy()
+            first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+            np.minimum.at(first, index, doc)
+            anchor, strings = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            anchor[index] = tab.column("anchor").to_numpy()
+            texts = coded.dictionary.to_pylist()
+            strings[:] = [len(t) - LENGTH + 1 for t in texts]
+            masks = string_masks(texts, first, anchor)
+            mask = np.where(doc > first[index], (np.int64(1) << strings[index]) - 1, masks[index])
+            tab = tab.append_column("mask", pa.array(mask, pa.int32())).filter(pa.array(mask != 0)).combine_chunks()
+            return pa.RecordBatch.from_arrays([tab.column(n).combine_chunks() if tab.num_rows else pa.array([], t) for n, t in kinds], names=[n for n, _ in kinds])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if volume >= ARRAY_BYTES and row[3] != last:
-                    yield flush()
-                    held, volume = [], 0
-                held.append(row)
-                volume += len(row[0])
-                last = row[3]
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            if held and volume >= ARRAY_BYTES:
+                begins = np.flatnonzero(anchor != held[-1].column("anchor")[-1].as_py())
+                cut = int(begins[0]) if len(begins) else batch.num_rows
+                if cut:
+                    held.append(batch.slice(0, cut))
+                if cut < batch.num_rows:
+                    yield flush(held)
+                    held, volume = [batch.slice(cut)], batch.slice(cut).nbytes
+                continue
+            held.append(batch)
+            volume += batch.nbytes
         if held:
-            yield flush()
-
-    cold = keyed.join(hot, F.col("anchor") == F.col("hot_anchor"), "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    out = cold.select("context", "first", "n_context", "anchor").mapInArrow(sort, "context binary, first long, n_context long, mask int")
-    strings = keyed.join(hot, F.col("anchor") == F.col("hot_anchor"), "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH - 1))).withColumn("string", F.expr(f"substring(context, i + 1, {LENGTH})"))
-    strings = materialize(strings.select("context", "first", "n_context", "i", "string"), scratch(spark, "strings"))
-    some = strings.count()
-    if some:
-        least = strings.groupBy("string").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n_string"))
-        judged = skew_join(strings, least, "string", F.xxhash64("context"), some, counts="n_string")
-        mask = F.sum(F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1, i)")).otherwise(0)).cast("int")
-        out = out.union(judged.groupBy("context").agg(F.first("first").alias("first"), F.first("n_context").alias("n_context"), mask.alias("mask")))
-    return out
+            yield flush(held)
+
+    marked = found.join(some, F.col("anchor") == F.col("hot_anchor"), "left")
+    cold = marked.filter("hot_anchor is null").drop("hot_anchor").repartition("anchor").sortWithinPartitions("anchor")
+    out = cold.select("anchor", "context", "doc_id", "chunk", "of", "pos").mapInArrow(sort, "chunk long, of long, pos int, mask int")
+    if hot.isEmpty():
+        return out
+    many = marked.filter("hot_anchor is not null").withColumn("key", F.unhex(F.md5("context")))
+    folds = many.groupBy("key", "context").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_context"))
+    folds = materialize(folds, scratch(spark, "folds"))
+    strings = folds.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH))).withColumn("string", F.expr(f"substring(context, i + 1, {LENGTH})"))
+    strings = materialize(strings.select("key", "first", "n_context", "i", "string"), scratch(spark, "strings"))
+    least = strings.groupBy("string").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n_string"))
+    judged = skew_join(strings, least, "string", F.xxhash64("key"), strings.count(), counts="n_string")
+    mask = F.sum(F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1, i)")).otherwise(0)).cast("int")
+    masks = materialize(judged.groupBy("key").agg(F.first("first").alias("first"), F.first("n_context").alias("n_context"), mask.alias("mask")), scratch(spark, "masks"))
+    met = skew_join(many.select("chunk", "of", "doc_id", "pos", (F.octet_length("context") - LENGTH + 1).alias("strings"), "key"), masks, "key", F.col("doc_id") + F.col("pos"), size, counts="n_context")
+    mask = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1, strings) - 1")).otherwise(F.col("mask"))
+    return out.union(met.select("chunk", "of", "pos", mask.cast("int").alias("mask")).filter("mask != 0"))
+
 
+def string_masks(contexts: list[bytes], first: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each context, the bits of its strings that a smaller document has, by a suffix array of all.
 
-def string_masks(contexts: list[bytes], first: np.ndarray, groups: list[int]) -> np.ndarray:
-    """For each context, the bits of its strings that a smaller document has, by a suffix array of all."""
+    `group`: each context's anchor; contexts of one anchor follow each other.
+    """
     out = np.zeros(len(contexts), np.int64)
-    group = np.array(groups)
     alone = np.ones(len(group), bool)
     same = group[1:] == group[:-1]
     alone[1:][same] = alone[:-1][same] = False
