@@ -13,6 +13,13 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r.n, int(r.h or 0)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points at one centre, which points at none."""
+    if not edges.groupBy("hi").count().filter("count > 1").isEmpty():
+        return False
+    return edges.select(F.col("lo").alias("hi")).join(edges.select("hi"), "hi", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b); component is its smallest node.
 
@@ -25,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     edges = materialize(edges, path)
     mark = _mark(edges)
-    while mark[0]:
+    while mark[0] and not _stars(edges):
         least = edges.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n"))
         small = skew_join(edges, least, "hi", F.col("lo"), mark[0], counts="n")
         small = small.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("least").alias("y")), F.struct(F.col("lo").alias("x"), F.col("least").alias("y")))).alias("e")).select(F.col("e.x").alias("hi"), F.col("e.y").alias("lo")).filter("hi != lo").distinct()
