@@ -16,6 +16,8 @@ import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import held
+
 #: Texts beyond so many characters are cut.
 PIECE = 1 << 16
 #: A character that no engine takes for white space, before a blank or a line feed: every
@@ -28,16 +30,14 @@ LONG_RUN = 1 << 12
 BLANK = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUN = re.compile(f"[{BLANK}]{{{LONG_RUN},}}")
 
-_encodings: dict[bytes, tiktoken.Encoding] = {}
-
-
 def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file's bytes, kept for the life of the worker."""
-    key = hashlib.sha256(ranks + pattern.encode()).digest()
-    if key not in _encodings:
+
+    def make() -> tiktoken.Encoding:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        _encodings[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _encodings[key]
+        return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    return held("encoding " + hashlib.sha256(ranks + pattern.encode()).hexdigest(), make)
 
 
 def _cut(text: str, size: int) -> Iterator[str]:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.operators.scale import HOT_KEYS, materialize, remove, scratch, shared_dir, skew_join
 from quillmesh.session import ship
 
-#: At most so many hot keys are broadcast by `skew_join`; a key is hot only
-#: beyond one part in HOT_KEYS of the rows, so more cannot exist.
-HOT_KEYS = 1000
-
+__all__ = ["HOT_KEYS", "Query", "held", "materialize", "remove", "scratch", "setup", "shared_dir", "shingle_hashes", "shingle_set", "skew_join", "table", "word_hashes"]
 
 def setup(spark: SparkSession) -> None:
     """Ship the package, and bound the Arrow batches that reach Python, whatever the length of the texts."""
@@ -30,73 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='quillmesh-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quillmesh/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a cut lineage that outlives executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+_held: dict[str, object] = {}
 
 
-def hot_keys(left: DataFrame, key: str, rows: int, hot: int = HOT_KEYS) -> DataFrame:
-    """(key, salts) of the keys with more than rows/hot rows: `hot` rows at most, one salt per share."""
-    share = max(32, math.ceil(rows / hot))
-    return (
-        left.groupBy(F.col(key).alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter((F.col("n") > share) & F.col("hot_key").isNotNull())
-        .select("hot_key", F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    )
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, rows: int, how: str = "inner", counts: str | None = None) -> DataFrame:
-    """`left` joined with `right` on `key`, hot keys of `left` dealt over several tasks.
-
-    `right` has few rows a key (mostly one). Rows of a hot key get one of its salts by
-    `spread`; the right side repeats its rows of that key once a salt, so the repeats
-    number HOT_KEYS at most over all keys. Only (key, salts) of hot keys is broadcast.
-    `how`: inner or left. `counts`: the column of `right`, one row a key, that has the
-    number of left rows of its key; without it they are counted. Other columns must have
-    different names.
-    """
-    if counts:
-        share = max(32, math.ceil(rows / HOT_KEYS))
-        hot = right.filter((F.col(counts) > share) & F.col(key).isNotNull()).select(F.col(key).alias("hot_key"), F.ceil(F.col(counts) / share).cast("int").alias("salts"))
-    else:
-        hot = materialize(hot_keys(left, key, rows), scratch(left.sparkSession, "hot"))
-    some = F.broadcast(hot)
-    salted = left.join(some, F.col(key) == F.col("hot_key"), "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0)).cast("int")).drop("hot_key", "salts")
-    dealt = right.withColumnRenamed(key, "key_").join(some, F.col("key_") == F.col("hot_key"), "left").withColumn("salt_r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("hot_key", "salts")
-    return salted.join(dealt, (F.col(key) == F.col("key_")) & (F.col("salt_") == F.col("salt_r")), how).drop("salt_", "salt_r", "key_")
-
-
-def parts_for(bytes_in: int, each: int = 32 << 20, least: int = 12) -> int:
-    return max(least, math.ceil(bytes_in / each))
+def held(name: str, make: Callable[[], object]) -> object:
+    """A worker's cache of that name; others go, so that stages do not add up their memory."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    BOUND = 600_000
+    BOUND = 500_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -105,15 +47,12 @@ class WordHashes(dict):
         return value
 
 
-WORDS = WordHashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a text, A-Z in lower case, cut at ASCII white space."""
     if not text:
         return np.empty(0, np.uint64)
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held("words", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

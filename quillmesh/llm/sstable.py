@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, scratch
+from .common import held, materialize, scratch
 
 MAGIC = b"QMSSTv1\n"
 #: index offset, index bytes, filter offset, filter bytes, entries, ids, bytes an id.
@@ -212,9 +212,6 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_chunks: dict[str, ChunkIds] = {}
-
-
 def encoder(tokenizer_json: str, width: int, drops_blanks: bool) -> Callable[[str], bytes]:
     """text -> id bytes by the tokenizers library.
 
@@ -223,9 +220,8 @@ def encoder(tokenizer_json: str, width: int, drops_blanks: bool) -> Callable[[st
     """
     dtype = f"<u{width}"
     if drops_blanks:
-        if tokenizer_json not in _chunks:
-            _chunks[tokenizer_json] = ChunkIds(Tokenizer.from_str(tokenizer_json), dtype)
-        return _chunks[tokenizer_json].of
+        name = f"chunks {xxhash.xxh3_64_hexdigest(tokenizer_json.encode())} {dtype}"
+        return held(name, lambda: ChunkIds(Tokenizer.from_str(tokenizer_json), dtype)).of
     tokenizer = Tokenizer.from_str(tokenizer_json)
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes()
 

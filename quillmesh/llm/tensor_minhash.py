@@ -2,12 +2,17 @@
 
 Two collections of `side` half keys, each over `rows` minhashes, stand for side x side
 tables: the key of table (i, j) combines half i of one with half j of the other. A
-document thus takes 2 * side * rows minhashes in place of side * side * 2 * rows.
-
-Candidates of a table's bucket are checked on the full shingle sets. In the first round
-the smallest document of a bucket is compared with its other members; later rounds take
-more hubs in the buckets whose members are still in several components, until none
-are left, so that no link between different sets is lost and no bucket gives all its pairs.
+document thus takes 2 * side * rows minhashes in place of side * side * 2 * rows. The
+tables are not written out: documents are dealt by half i, and half j completes the key
+when two of them meet.
+
+Candidates are checked on the full shingle sets. In the first round the smallest document
+of a bucket is compared with its other members. In later rounds,
+where members of a bucket are still in several components, those outside its largest one
+are compared with the rest, HUBS of them at a time, until no bucket is open: no link between
+components is lost, and no bucket gives all its pairs. Shingles that no
+other document of the open buckets has bound what two of them can share, so that a pair
+is formed only where that bound reaches the threshold.
 """
 
 from __future__ import annotations
@@ -21,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators.graph import components
+
 from .common import materialize, scratch, shingle_set, skew_join
-from .components import components
 
 ROWS = 3
 #: A pair at the threshold is missed with this probability at most.
 MISS = 2e-4
 #: Hubs that a bucket takes in a later round, on average.
-HUBS = 64
+HUBS = 2048
 
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -95,7 +101,35 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows:
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text_").alias("text_b")), "b")
     both = skew_join(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text_").alias("text_a")), "a", F.col("b"), rows)
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def in_table(side: int) -> str:
+    """Whether rep and hub, which agree in half `slot` of the first collection, share a table's key.
+
+    Table (i, j) has the key of halves i and j, so they do where a half of the second
+    collection agrees as well; and each pair counts once, in the first slot that it shares.
+    """
+    same = "zip_with(halves, hub_halves, (x, y) -> x = y)"
+    return f"array_position(slice({same}, 1, {side}), true) = slot + 1 and array_contains(slice({same}, {side + 1}, {side}), true)"
+
+
+def common_sizes(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(rep, size, common): the size of a document's set, and how many of it other `reps` have as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingle_set(text.as_py(), words)
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], names=["rep", "shingle"])
+
+    rows = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, shingle long")
+    owners = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    # the smallest and the largest owner stand for all: others are counted as sharing
+    alone = owners.filter("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    return reps.join(alone, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side: int, id_col: str, text_col: str) -> DataFrame:
@@ -104,43 +138,49 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
     n = classes.count()
     half = classes.filter("rep is not null").select("rep", F.posexplode("halves").alias("slot", "half"))
     shared = materialize(half.groupBy("half").agg(F.count(F.lit(1)).alias("n_half")).filter("n_half > 1"), scratch(spark, "shared"))
-    # a table key can be shared only where both its halves are
-    met = skew_join(half, shared, "half", F.col("rep"), 2 * side * n, counts="n_half").groupBy("rep").agg(F.collect_list(F.struct("slot", "half")).alias("met"))
-    first = F.transform(F.filter("met", lambda x: x.slot < side), lambda x: x.half)
-    second = F.transform(F.filter("met", lambda x: x.slot >= side), lambda x: x.half)
-    keys = met.select("rep", first.alias("p"), second.alias("q")).select("rep", F.explode(F.flatten(F.transform("p", lambda x: F.transform("q", lambda y: F.xxhash64(x, y))))).alias("key"))
-    members = materialize(keys, scratch(spark, "tables"))
-    rows = members.count()
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    # a table's key can be shared only where both its halves are
+    met = skew_join(half, shared, "half", F.col("rep"), 2 * side * n, counts="n_half").groupBy("rep").agg(F.min("slot").alias("low"), F.max("slot").alias("high"))
+    wanted = materialize(met.filter((F.col("low") < side) & (F.col("high") >= side)).select(F.col("rep").alias("doc_id")), scratch(spark, "wanted"))
     texts = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_")).join(wanted, "doc_id", "left_semi"), scratch(spark, "texts"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
-    buckets = materialize(buckets, scratch(spark, "buckets"))
-    placed = materialize(skew_join(members, buckets, "key", F.col("rep"), rows, counts="n_key"), scratch(spark, "placed"))
-    pairs = materialize(placed.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), scratch(spark, "pairs"))
+    # a row for each half key of the first collection; the second one completes a table's key in the pair
+    members = classes.join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "halves", F.posexplode(F.slice("halves", 1, side)).alias("slot", "key"))
+    buckets = members.groupBy("key").agg(F.min_by(F.struct("rep", "halves"), "rep").alias("least"), F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
+    buckets = buckets.select("key", F.col("least.rep").alias("hub"), F.col("least.halves").alias("hub_halves"), "n_key")
+    members = materialize(skew_join(members, buckets, "key", F.col("rep"), side * n, counts="n_key"), scratch(spark, "members"))
+    pairs = materialize(members.filter("rep != hub").filter(in_table(side)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch(spark, "pairs"))
     tested = pairs
     links = materialize(verified(pairs, texts, words, percent, pairs.count()), scratch(spark, "links"))
     found = materialize(components(links), scratch(spark, "components"))
-    members = placed.filter("rep != hub").select("key", "rep")
-    turn = 0
+    members = members.select("rep", "halves", "slot", "key")
+    turn, sizes = 0, None
     while True:  # buckets whose members are in several components
         turn += 1
         labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         labelled = materialize(labelled, scratch(spark, "labelled"))
-        several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").drop("x", "y")
-        several = materialize(several, scratch(spark, "open"))
+        parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        several = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_key"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
+        several = materialize(several.select("key", "n_key", F.col("most.component").alias("main"), (F.col("n_key") - F.col("most.n")).alias("others")), scratch(spark, "open"))
         left = several.agg(F.sum("n_key")).first()[0] or 0
         if not left:
             return found
-        open_ = materialize(skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n_key")) < HUBS), scratch(spark, "round"))
-        hubs = open_.filter("is_hub").select("key", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        met = skew_join(open_, hubs, "key", F.col("rep"), left).filter("component != hub_component and (not is_hub or rep < hub)")
+        if sizes is None:
+            in_open = labelled.join(several.select("key"), "key", "left_semi").select("rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("size")), "rep")
+            sizes = materialize(common_sizes(texts, materialize(in_open, scratch(spark, "unsettled")), words), scratch(spark, "sizes"))
+        # a pair of two components has a member outside the bucket's largest one: those are the hubs
+        chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < HUBS)
+        open_ = materialize(skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).join(sizes, "rep"), scratch(spark, "round"))
+        hubs = open_.filter("is_hub").select("key", F.col("rep").alias("hub"), F.col("halves").alias("hub_halves"), F.col("component").alias("hub_component"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"))
+        met = skew_join(open_.select("key", "rep", "slot", "halves", "component", "is_hub", "size", "common"), hubs, "key", F.col("rep"), left)
+        met = met.filter("component != hub_component and (not is_hub or rep < hub)").filter(f"100 * least(common, hub_common) >= {percent} * (size + hub_size - least(common, hub_common))")
+        met = met.filter(in_table(side))
         pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, scratch(spark, "pairs"))
         tested = materialize(tested.union(pairs), scratch(spark, "tested"))
         some = pairs.count()
-        members = open_.filter("not is_hub").select("key", "rep")
-        if some:
-            links = materialize(links.union(verified(pairs, texts, words, percent, some)), scratch(spark, "links"))
+        members = open_.filter("not is_hub").select("rep", "halves", "slot", "key")
+        new = materialize(verified(pairs, texts, words, percent, some), scratch(spark, "links")) if some else None
+        if new is not None and not new.isEmpty():
+            links = links.union(new)
             found = materialize(components(links), scratch(spark, "components"))
 
 
@@ -159,7 +199,7 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
     spark = docs.sparkSession
     side = side_for(percent)
     marks = materialize(signatures(docs, words, side, id_col, text_col), scratch(spark, "signatures"))
-    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.count(F.lit(1)).alias("n_class"))
+    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_class"))
     classes = materialize(classes, scratch(spark, "classes"))
     found = links_of(classes, docs, words, percent, side, id_col, text_col)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n_class", F.coalesce("component", "rep").alias("component"))

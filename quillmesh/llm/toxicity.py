@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Words a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
 OVERLAP = WINDOW - STRIDE
@@ -32,7 +34,7 @@ LEAST_DF = 6
 #: Labelled documents of each label that training takes at most, and windows of each of
 #: them at most. Both bound the fit alone; scoring covers everything.
 TRAIN_DOCS, TRAIN_WINDOWS = 1200, 16
-EPOCHS, BATCH, RATE = 6, 32, 0.005
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 240, 32, 0.005
 #: Sharpness of the softmax over a document's windows, in the first and the last epoch.
 SHARP = (1.0, 4.0)
 TOKEN = re.compile(r"\w+")
@@ -219,9 +221,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         np.maximum.at(best, owner, out)
         return best.astype(np.float64), out, owner, x, local.reshape(index.shape), mask, used, parts, kept
 
-    for epoch in range(EPOCHS):
-        rate = RATE * (0.4 if epoch > EPOCHS * 0.6 else 1)
-        sharp = SHARP[0] + (SHARP[1] - SHARP[0]) * epoch / max(1, EPOCHS - 1)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(train))))
+    for epoch in range(epochs):
+        rate = RATE * (0.4 if epoch > epochs * 0.6 else 1)
+        sharp = SHARP[0] + (SHARP[1] - SHARP[0]) * epoch / max(1, epochs - 1)
         r.shuffle(train)
         for at in range(0, len(train), BATCH):
             which = train[at : at + BATCH]
@@ -268,7 +271,7 @@ def calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Scorer:
     """Scores batches of texts; remembers words' gate inputs up to a bound."""
 
-    BOUND = 600_000
+    BOUND = 500_000
     STEP = 2048  # windows at a time
 
     def __init__(self, model: Model):
@@ -341,15 +344,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer of a model, with the words that it has met."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    return held(f"scorer {model.name}", lambda: Scorer(model))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out=None, per_label: int = TRAIN_DOCS) -> Model:
