@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, items, ranking, relations, scalars, stories, streams  # noqa: F401
+from . import history, items, more, ranking, relations, scalars, stories, streams  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "near_duplicate_pairs"
