@@ -239,3 +239,77 @@ def a31(spark, d):
 @query("a37_run_averages", with_tables("runs") + "SELECT run // 1000 AS block, round(avg(items), 6) AS items, round(sum(CASE WHEN state = 'ok' THEN 1 ELSE 0 END) / count(*), 9) AS ok_share FROM runs GROUP BY ALL")
 def a37(spark, d):
     return runs(spark, d).groupBy(F.floor(F.col("run") / 1000).alias("block")).agg(F.round(F.avg("items"), 6).alias("items"), F.round(F.count_if(F.col("state") == "ok") / F.count(F.lit(1)), 9).alias("ok_share"))
+
+
+@query("s13_state_round_trip", with_tables("runs") + "SELECT source_id, arg_max(state, run) AS state, max(run) AS run FROM runs GROUP BY source_id")
+def s13(spark, d):
+    """State written to the shared folder and read back; a missing table is a fresh start."""
+    from quillmesh.operators.scale import materialize, scratch
+
+    s = runs(spark, d).groupBy("source_id").agg(F.max_by("state", "run").alias("state"), F.max("run").alias("run"))
+    return materialize(s, scratch(spark, "state"))
+
+
+@query("s15_bodies", "SELECT page_id % 4 AS shard, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY ALL")
+def s15(spark, d):
+    """Bodies written by partition and read back."""
+    from quillmesh.operators.scale import scratch
+
+    path = scratch(spark, "bodies")
+    read(spark, d, "pages").withColumn("shard", F.col("page_id") % 4).repartition("shard").write.partitionBy("shard").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+@query("j19_split_members", with_tables("members") + "SELECT cluster_id, article_id FROM members JOIN (SELECT DISTINCT event_id % 1000 AS article_id FROM events WHERE value < 5) USING (article_id)")
+def j19(spark, d):
+    answers = read(spark, d, "events").filter("value < 5").select((F.col("event_id") % 1000).alias("article_id"))
+    return members(spark, d).join(answers, "article_id", "left_semi").select("cluster_id", "article_id")
+
+
+@query("a25_trial_bands", "SELECT CASE WHEN value >= 70 THEN 'likely' WHEN value >= 40 THEN 'possible' ELSE 'low' END AS band, event_type, count(*) AS n FROM events GROUP BY ALL")
+def a25(spark, d):
+    band = F.when(F.col("value") >= 70, "likely").when(F.col("value") >= 40, "possible").otherwise("low")
+    return read(spark, d, "events").groupBy(band.alias("band"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k10_trial_history", "SELECT event_id FROM events WHERE event_id % 3 = 2 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 8 DAY")
+def k10(spark, d):
+    e = read(spark, d, "events")
+    last = F.broadcast(e.agg(F.max("ts").alias("last")))
+    return e.join(last, F.col("ts") >= F.col("last") - F.expr("INTERVAL 8 DAYS")).filter("event_id % 3 = 2").select("event_id")
+
+
+@query("k04_event_inheritance", with_tables("members", also="o AS (SELECT a.cluster_id % 20 AS now, b.cluster_id % 19 AS before, count(*) AS shared FROM members a JOIN members b USING (article_id) GROUP BY ALL)") + "SELECT now, before FROM o QUALIFY row_number() OVER (PARTITION BY now ORDER BY shared DESC, before) = 1")
+def k04(spark, d):
+    m = members(spark, d).select("article_id", (F.col("cluster_id") % 20).alias("now"), (F.col("cluster_id") % 19).alias("before"))
+    o = m.groupBy("now", "before").agg(F.count(F.lit(1)).alias("shared"))
+    return first_by(o, ["now"], F.desc("shared"), F.col("before")).select("now", "before")
+
+
+@query("x03_rule_union", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3")
+def x03(spark, d):
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return read(spark, d, "events").select("user_id", "event_id", r.alias("r")).filter("r <= 3").select("user_id", "event_id")
+
+
+@query("x28_follow_archive", with_tables("history") + "SELECT DISTINCT h.user_id, h.article_id FROM history h WHERE kind = 'save' AND user_id IN (SELECT user_id FROM history WHERE kind = 'up')")
+def x28(spark, d):
+    h = history(spark, d)
+    return h.filter("kind = 'save'").join(h.filter("kind = 'up'").select("user_id"), "user_id", "left_semi").select("user_id", "article_id").distinct()
+
+
+@query("x30_run_notice", with_tables("runs") + """SELECT '{"ok":' || count(*) FILTER (WHERE state = 'ok') || ',"error":' || count(*) FILTER (WHERE state = 'error') || '}' AS notice FROM runs""")
+def x30(spark, d):
+    g = runs(spark, d).agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "error").alias("error"))
+    return g.select(F.to_json(F.struct("ok", "error")).alias("notice"))
+
+
+@query("r22_sorted_by", "SELECT doc_id, CASE WHEN quality = toxic THEN 'rules and model' WHEN quality = 1 THEN 'rules' ELSE 'model' END AS sorted_by FROM labels")
+def r22(spark, d):
+    return read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == F.col("toxic"), "rules and model").when(F.col("quality") == 1, "rules").otherwise("model").alias("sorted_by"))
+
+
+@query("r21_proposal_gate", with_tables("history") + "SELECT user_id, count(*) AS n, count(*) <= 70 AND count(DISTINCT kind) >= 3 AS allowed FROM history GROUP BY user_id")
+def r21(spark, d):
+    g = history(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind").alias("kinds"))
+    return g.select("user_id", "n", ((F.col("n") <= 70) & (F.col("kinds") >= 3)).alias("allowed"))
