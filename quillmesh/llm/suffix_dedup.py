@@ -41,7 +41,7 @@ ARRAY_BYTES = 1 << 20
 #: Bytes of text whose anchors are found at a time.
 STEP = 192 << 10
 #: An anchor is hot with more than so many occurrences, and more than one part in HOT_ANCHORS of all.
-ANCHOR_ROWS, HOT_ANCHORS = 4096, 100_000
+ANCHOR_ROWS, HOT_ANCHORS = 65_536, 100_000
 #: Stands for a null id, which ranks below all others.
 NULL_ID = -(2**63)
 #: Names stand for 81 bytes after so many rounds, more than LENGTH.
