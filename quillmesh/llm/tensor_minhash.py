@@ -10,9 +10,8 @@ Candidates are checked on the full shingle sets. In the first round the smallest
 of a bucket is compared with its other members. In later rounds,
 where members of a bucket are still in several components, those outside its largest one
 are compared with the rest, HUBS of them at a time, until no bucket is open: no link between
-components is lost, and no bucket gives all its pairs. Shingles that no
-other document of the open buckets has bound what two of them can share, so that a pair
-is formed only where that bound reaches the threshold.
+components is lost. Those comparisons stay within blocks of bounded size and give links
+alone, never pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +34,8 @@ ROWS = 3
 MISS = 2e-4
 #: Hubs that a bucket takes in a later round, on average.
 HUBS = 2048
+#: Other members that meet the hubs in one task, about.
+BLOCK = 1024
 
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -114,22 +115,52 @@ def in_table(side: int) -> str:
     return f"array_position(slice({same}, 1, {side}), true) = slot + 1 and array_contains(slice({same}, {side + 1}, {side}), true)"
 
 
-def common_sizes(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(rep, size, common): the size of a document's set, and how many of it other `reps` have as well."""
+def shingle_rows(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles): the full sets of `reps`, sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingle_set(text.as_py(), words)
-                for at in range(0, len(found), 50_000):
-                    part = found[at : at + 50_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], names=["rep", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["rep", "shingles"])
+
+    return texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, shingles binary")
+
+
+def block_links(rows: DataFrame, side: int, percent: int) -> DataFrame:
+    """The links (a, b) between hubs and other members of a block, checked on the full sets.
+
+    rows: key, block, rep, slot, halves, component, is_hub, shingles; a block has the hubs
+    of its bucket and BLOCK other members about. Pairs stay within the block's arrays:
+    one pass over the members' sets a hub; only links leave.
+    """
 
-    rows = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, shingle long")
-    owners = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    # the smallest and the largest owner stand for all: others are counted as sharing
-    alone = owners.filter("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    return reps.join(alone, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    def run(key, tab):
+        reps, hubs = tab.column("rep").to_numpy(), tab.column("is_hub").to_numpy()
+        halves = np.array(tab.column("halves").to_pylist(), np.int64)
+        component, slot = tab.column("component").to_numpy(), tab.column("slot")[0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in tab.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
+        found: list[tuple[int, int]] = []
+        for h in np.flatnonzero(hubs):
+            same = halves == halves[h]
+            # a table's key in common, in the first slot that the pair shares; sets of sizes that can reach the threshold
+            meet = ~same[:, :slot].any(axis=1) & same[:, side:].any(axis=1) & (component != component[h]) & (~hubs | (reps < reps[h]))
+            meet &= (100 * np.minimum(size, size[h]) >= percent * np.maximum(size, size[h])) & (size > 0)
+            if not meet.any():
+                continue
+            which = np.flatnonzero(meet)
+            if len(which) < len(sets) // 4:
+                part, at = np.concatenate([sets[i] for i in which]), np.concatenate([[0], np.cumsum(size[which])[:-1]])
+            else:
+                which, part, at = np.arange(len(sets)), every, starts
+            hit = sets[h][np.minimum(np.searchsorted(sets[h], part), size[h] - 1)] == part
+            total = np.concatenate([[0], np.cumsum(hit)])
+            both = total[at + size[which]] - total[at]
+            good = meet[which] & (100 * both >= percent * (size[which] + size[h] - both))
+            found += [(min(int(reps[h]), int(x)), max(int(reps[h]), int(x))) for x in reps[which[good]]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("key", "block").applyInArrow(run, "a long, b long")
 
 
 def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side: int, id_col: str, text_col: str) -> DataFrame:
@@ -148,11 +179,10 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
     buckets = buckets.select("key", F.col("least.rep").alias("hub"), F.col("least.halves").alias("hub_halves"), "n_key")
     members = materialize(skew_join(members, buckets, "key", F.col("rep"), side * n, counts="n_key"), scratch(spark, "members"))
     pairs = materialize(members.filter("rep != hub").filter(in_table(side)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch(spark, "pairs"))
-    tested = pairs
     links = materialize(verified(pairs, texts, words, percent, pairs.count()), scratch(spark, "links"))
     found = materialize(components(links), scratch(spark, "components"))
     members = members.select("rep", "halves", "slot", "key")
-    turn, sizes = 0, None
+    turn, sets = 0, None
     while True:  # buckets whose members are in several components
         turn += 1
         labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -163,23 +193,17 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
         left = several.agg(F.sum("n_key")).first()[0] or 0
         if not left:
             return found
-        if sizes is None:
-            in_open = labelled.join(several.select("key"), "key", "left_semi").select("rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("size")), "rep")
-            sizes = materialize(common_sizes(texts, materialize(in_open, scratch(spark, "unsettled")), words), scratch(spark, "sizes"))
+        if sets is None:
+            in_open = materialize(labelled.join(several.select("key"), "key", "left_semi").select("rep").distinct(), scratch(spark, "unsettled"))
+            sets = materialize(shingle_rows(texts, in_open, words), scratch(spark, "sets"))
         # a pair of two components has a member outside the bucket's largest one: those are the hubs
         chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < HUBS)
-        open_ = materialize(skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).join(sizes, "rep"), scratch(spark, "round"))
-        hubs = open_.filter("is_hub").select("key", F.col("rep").alias("hub"), F.col("halves").alias("hub_halves"), F.col("component").alias("hub_component"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"))
-        met = skew_join(open_.select("key", "rep", "slot", "halves", "component", "is_hub", "size", "common"), hubs, "key", F.col("rep"), left)
-        met = met.filter("component != hub_component and (not is_hub or rep < hub)").filter(f"100 * least(common, hub_common) >= {percent} * (size + hub_size - least(common, hub_common))")
-        met = met.filter(in_table(side))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, scratch(spark, "pairs"))
-        tested = materialize(tested.union(pairs), scratch(spark, "tested"))
-        some = pairs.count()
+        open_ = materialize(skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).withColumn("blocks", F.ceil(F.col("n_key") / BLOCK).cast("int")), scratch(spark, "round"))
+        own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = open_.withColumn("block", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+        new = materialize(block_links(dealt.select("key", "block", "rep", "slot", "halves", "component", "is_hub").join(sets, "rep"), side, percent), scratch(spark, "links"))
         members = open_.filter("not is_hub").select("rep", "halves", "slot", "key")
-        new = materialize(verified(pairs, texts, words, percent, some), scratch(spark, "links")) if some else None
-        if new is not None and not new.isEmpty():
+        if not new.isEmpty():
             links = links.union(new)
             found = materialize(components(links), scratch(spark, "components"))
 
@@ -199,7 +223,7 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
     spark = docs.sparkSession
     side = side_for(percent)
     marks = materialize(signatures(docs, words, side, id_col, text_col), scratch(spark, "signatures"))
-    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_class"))
+    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.count(F.lit(1)).alias("n_class"))
     classes = materialize(classes, scratch(spark, "classes"))
     found = links_of(classes, docs, words, percent, side, id_col, text_col)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n_class", F.coalesce("component", "rep").alias("component"))
