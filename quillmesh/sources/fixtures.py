@@ -8,6 +8,8 @@ they need. All offsets are deterministic functions of the keys.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ NOW_S = BASE_S + 259_200
 #: Tag keywords, our own small table: words of the texts that stand for a topic.
 TOPICS = {"politics": ["from", "pour"], "economy": ["with", "sur"], "science": ["nicht", "dans"], "conflict": ["avec", "los"], "culture": ["that", "una"]}
 HARD_NEWS = ["conflict", "economy", "politics", "science", "world"]
+#: Whether topic tags are read from whole texts or, as the SQL of `articles` has it, from their first 1200 characters.
+_whole = ContextVar("whole", default=False)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +33,28 @@ def words(text):
     return F.filter(F.split(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), " "), lambda w: w != "")
 
 
+def whole_text(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The plan over articles whose topic tags are read from the whole texts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return plan(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    return run
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source_id, url, title, dek, published_s, published_at, lang, n_chars, topics."""
-    d = read(spark, sf_dir, "documents").withColumn("w", words(F.substring("text", 1, 1200)))
+    """id, source_id, url, title, dek, published_s, published_at, lang, n_chars, topics.
+
+    Title and dek are words of the whole text, however much white space it starts with.
+    """
+    d = read(spark, sf_dir, "documents").withColumn("w", words(F.col("text")))
+    d = d.withColumn("tagged", F.col("w") if _whole.get() else words(F.substring("text", 1, 1200)))
     title, dek = F.array_join(F.slice("w", 1, 12), " "), F.array_join(F.slice("w", 13, 50), " ")
-    tags = [F.when(F.arrays_overlap("w", F.array(*map(F.lit, ks))), F.lit(t)) for t, ks in TOPICS.items()]
+    tags = [F.when(F.arrays_overlap("tagged", F.array(*map(F.lit, ks))), F.lit(t)) for t, ks in TOPICS.items()]
     at = F.lit(BASE_S) + (F.col("doc_id") * 7919) % 259_200
     return d.select(
         F.col("doc_id").alias("id"),
@@ -101,6 +122,9 @@ CTES = {
         CASE WHEN event_type <> 'error' AND value >= 20 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS items FROM events)""",
 }
 
+#: `articles` in SQL with topic tags from whole texts.
+WHOLE_ARTICLES = CTES["articles"].replace("substr(text, 1, 1200)", "text")
+
 
 def with_tables(*names: str, also: str = "") -> str:
     """A WITH clause of the named derived tables, and of `also`."""
