@@ -19,16 +19,27 @@ def joined(spark, d):
     return members(spark, d).join(articles(spark, d), F.col("article_id") == F.col("id"))
 
 
-@query("s09_feed_items", with_tables("articles") + "SELECT source_id, kind, CAST(row_number() OVER (PARTITION BY source_id ORDER BY id) - 1 AS INT) AS position, replace(title, '&', '+') AS title, url AS link FROM (SELECT *, CASE WHEN source_id IN ('src1', 'src3') THEN 'atom' ELSE 'rss' END AS kind FROM articles WHERE id < 200)")
-def s09(spark, d):
-    """A feed of each outlet, written out and parsed back."""
-    a = articles(spark, d).filter("id < 200").withColumn("t", F.replace("title", F.lit("&"), F.lit("+")))
+def parsed_back(a, *feed):
+    """Feeds of articles, one for each value of `feed`, written out and parsed back."""
+    a = a.withColumn("t", F.replace("title", F.lit("&"), F.lit("+")))
     rss = F.concat(F.lit("<item><title><![CDATA["), "t", F.lit("]]></title><link>"), "url", F.lit("</link></item>"))
     atom = F.concat(F.lit("<entry><title><![CDATA["), "t", F.lit(']]></title><link rel="self" href="x"/><link rel="alternate" href="'), "url", F.lit('"/></entry>'))
     is_atom = F.col("source_id").isin("src1", "src3")
-    packed = a.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.when(is_atom, atom).otherwise(rss).alias("x")))), lambda s: s.x), "").alias("x"))
+    packed = a.groupBy(*feed).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.when(is_atom, atom).otherwise(rss).alias("x")))), lambda s: s.x), "").alias("x"))
     body = F.when(is_atom, F.concat(F.lit("junk<feed>"), "x", F.lit("</feed>"))).otherwise(F.concat(F.lit("<?xml version='1.0'?><rss>"), "x", F.lit("</rss>")))
-    return feeds.items(feeds.repaired(packed.select("source_id", body.alias("body")))).select("source_id", "kind", "position", "title", "link")
+    return feeds.items(feeds.repaired(packed.select(*feed, body.alias("body")))).select(*feed, "kind", "position", "title", "link")
+
+
+@query("s09_feed_items", with_tables("articles") + "SELECT source_id, kind, CAST(row_number() OVER (PARTITION BY source_id ORDER BY id) - 1 AS INT) AS position, replace(title, '&', '+') AS title, url AS link FROM (SELECT *, CASE WHEN source_id IN ('src1', 'src3') THEN 'atom' ELSE 'rss' END AS kind FROM articles WHERE id < 200)")
+def s09(spark, d):
+    """A feed of each outlet, written out and parsed back."""
+    return parsed_back(articles(spark, d).filter("id < 200"), "source_id")
+
+
+@query("s09_all_feed_items", with_tables("articles") + r"SELECT source_id, feed, kind, CAST(row_number() OVER (PARTITION BY source_id, feed ORDER BY id) - 1 AS INT) AS position, nullif(regexp_replace(replace(title, '&', '+'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '') AS title, url AS link FROM (SELECT *, id // 1000 AS feed, CASE WHEN source_id IN ('src1', 'src3') THEN 'atom' ELSE 'rss' END AS kind FROM articles)")
+def s09_all(spark, d):
+    """All items: several feeds of each outlet, so that none outgrows a thousand ids."""
+    return parsed_back(articles(spark, d).withColumn("feed", F.floor(F.col("id") / 1000)), "source_id", "feed")
 
 
 @query("s07_repairs", "SELECT * FROM (VALUES ('junk<rss>a & b</rss>', 1, 0, 0, 1), ('<rss>a&nbsp;b &amp; c</rss>', 0, 0, 1, 0), ('<rss/>', 0, 0, 0, 0)) t(item, leading_junk, control_chars, html_entity, bare_ampersand)")

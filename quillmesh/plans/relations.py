@@ -281,10 +281,20 @@ def x02(spark, d):
     return one.select("tag", F.row_number().over(Window.orderBy("r", "user_id")).alias("place")).filter("place <= 60")
 
 
+def combined(r):
+    """ok where any run of a source was, else empty, else error."""
+    g = r.groupBy("source_id").agg(F.bool_or(F.col("state") == "ok").alias("ok"), F.bool_or(F.col("state") == "empty").alias("empty"))
+    return g.select("source_id", F.when(F.col("ok"), "ok").when(F.col("empty"), "empty").otherwise("error").alias("state"))
+
+
 @query("x05_combined_state", with_tables("runs") + "SELECT source_id, CASE WHEN bool_or(state = 'ok') THEN 'ok' WHEN bool_or(state = 'empty') THEN 'empty' ELSE 'error' END AS state FROM runs WHERE run % 7 = 0 GROUP BY source_id")
 def x05(spark, d):
-    g = runs(spark, d).filter("run % 7 = 0").groupBy("source_id").agg(F.bool_or(F.col("state") == "ok").alias("ok"), F.bool_or(F.col("state") == "empty").alias("empty"))
-    return g.select("source_id", F.when(F.col("ok"), "ok").when(F.col("empty"), "empty").otherwise("error").alias("state"))
+    return combined(runs(spark, d).filter("run % 7 = 0"))
+
+
+@query("x05_all_runs", with_tables("runs") + "SELECT source_id, CASE WHEN bool_or(state = 'ok') THEN 'ok' WHEN bool_or(state = 'empty') THEN 'empty' ELSE 'error' END AS state FROM runs GROUP BY source_id")
+def x05_all(spark, d):
+    return combined(runs(spark, d))
 
 
 @query("x08_version_review", with_tables("articles", "sources", "members", also=STORY) + "SELECT cluster_id, independent FROM facts WHERE n >= 2 ORDER BY independent DESC, cluster_id LIMIT 20")
