@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
-from quillmesh.sources.fixtures import NOW_S, articles, members, read, runs, sources, with_tables
+from quillmesh.operators.quotes import contained, sources_of
+from quillmesh.sources.fixtures import BASE_S, NOW_S, articles, members, read, runs, sources, with_tables
 
 from .base import query
 from .items import RAW, STORY, facts
@@ -31,14 +32,32 @@ def j02(spark, d):
 
 @query("j06_quote_archive", r"""WITH b AS (SELECT item_id, lower(text) AS q, array_to_string(string_split(lower(text), ' ')[1:6], ' ') AS k FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, item_id FROM t JOIN b ON contains(t.t, b.q)""")
 def j06(spark, d):
-    """Blocked on the first six words of the quote: a hash join of six-word runs, then the containment."""
-    words = lambda x: F.split(x, " ")
-    b = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("q")).withColumn("k", F.array_join(F.slice(words(F.col("q")), 2, 4), " "))
+    """Blocked on words 2 to 5 of the quote, short quotes held against all texts, then the containment."""
+    b = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
     t = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    w = words(F.col("t"))
-    runs_ = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 4), " ")))
-    keys = t.select("doc_id", F.explode(runs_).alias("k")).join(b, "k").select("doc_id", "item_id", "q").distinct()
-    return keys.join(t, "doc_id").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
+    return contained(b, "item_id", t, "doc_id")
+
+
+POST_S = f"{BASE_S} + (item_id * 104729) % 259200 - 43200"
+FOLD = lambda x: rf"trim(regexp_replace(lower(replace(replace({x}, '’', ''''), '‘', '''')), '[^\p{{L}}\p{{N}}_'']+', ' ', 'g'))"
+WORDS = lambda x: rf"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*'))"
+QUOTES = rf"""posts AS (SELECT item_id AS url, {POST_S} AS published_s, {FOLD("text")} AS t FROM benchmark WHERE NOT regexp_matches(text, '(?i)^\s*RT\b')),
+  versions AS (SELECT id, published_s, title || ' on Truth Social: “' || array_to_string(string_split(text, ' ')[2:5 + id % 7], ', ') || '” and "' || lower(array_to_string(string_split(text, ' ')[3:11], ' ')) || '"' AS text FROM articles JOIN benchmark ON id % 41 = item_id),
+  spans AS (SELECT id, published_s, unnest(s) AS raw, generate_subscripts(s, 1) AS place FROM (SELECT id, published_s, regexp_extract_all(text, '"[^"]+"|“[^”]+”') AS s FROM versions WHERE regexp_matches(text, '(?i)truth social'))),
+  folded AS (SELECT id, published_s, place, {FOLD("substr(raw, 2, length(raw) - 2)")} AS q FROM spans),
+  one AS (SELECT id, place, min(url) AS url FROM folded f JOIN posts p ON contains(p.t, f.q) AND f.published_s - p.published_s BETWEEN 0 AND 259200 WHERE {WORDS("q")} >= 6 AND {WORDS("t")} >= 6 GROUP BY id, place HAVING count(DISTINCT url) = 1)"""
+
+
+@query("j06_quote_sources", with_tables("articles", also=QUOTES) + "SELECT id, url FROM one QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1")
+def j06_sources(spark, d):
+    """Items as posts, and versions that quote one of them twice, once too short at times."""
+    b = read(spark, d, "benchmark")
+    posts = b.select(F.col("item_id").alias("url"), F.expr(POST_S).alias("published_s"), "text")
+    w = F.split("text", " ")
+    cut = F.concat("title", F.lit(" on Truth Social: “"), F.array_join(F.slice(w, F.lit(2), (F.col("id") % 7 + 4).cast("int")), ", "), F.lit('” and "'), F.lower(F.array_join(F.slice(w, 3, 9), " ")), F.lit('"'))
+    a = articles(spark, d).select("id", "published_s", "title")
+    versions = a.join(F.broadcast(b), F.col("id") % 41 == F.col("item_id")).select("id", "published_s", cut.alias("text"))
+    return sources_of(versions, posts)
 
 
 @query("j07_first_match", with_tables("articles", "members") + "SELECT cluster_id, id FROM members JOIN articles ON article_id = id WHERE contains(lower(dek), 'the') QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY published_s, id) = 1")
