@@ -276,6 +276,8 @@ def render(root: Node) -> str:
         stack.pop()
         if not stack:
             frame.end_line()
+            if frame.rows:  # of rows and cells outside of any table and block
+                frame.put(_grid([r if isinstance(r, list) else [r] for r in frame.rows]))
             return "\n".join(frame.lines).strip("\n")
         above, node, tag = stack[-1], frame.node, frame.node.tag
         if tag in ("td", "th"):
