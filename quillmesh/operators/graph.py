@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scale import materialize, remove, scratch, skew_join
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, int(r.h or 0)
-
-
 def _stars(edges: DataFrame) -> bool:
     """Whether every node points at one centre, which points at none."""
-    if not edges.groupBy("hi").count().filter("count > 1").isEmpty():
-        return False
-    return edges.select(F.col("lo").alias("hi")).join(edges.select("hi"), "hi", "left_semi").isEmpty()
+    up = edges.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("lo").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = up.union(down).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+def _written(edges: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The edges, written and read again, and about how many they are."""
+    seen = Observation()
+    return materialize(edges.observe(seen, F.count(F.lit(1)).alias("n")), path), int(seen.get.get("n") or 0)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,26 +27,22 @@ def components(links: DataFrame) -> DataFrame:
 
     A round points every node's smaller neighbours at the smallest (small star), then
     its larger neighbours (large star). Hubs are joined with dealt salts, edges stay in
-    the shared folder, and the driver sees two numbers a round.
+    the shared folder, and the driver sees two numbers a round. Null nodes have no links.
     """
     spark = links.sparkSession
     path = scratch(spark, "edges")
-    edges = links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = materialize(edges, path)
-    mark = _mark(edges)
-    while mark[0] and not _stars(edges):
+    edges, n = _written(links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), path)
+    while not _stars(edges):
         least = edges.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n"))
-        small = skew_join(edges, least, "hi", F.col("lo"), mark[0], counts="n")
+        small = skew_join(edges, least, "hi", F.col("lo"), n, counts="n")
         small = small.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("least").alias("y")), F.struct(F.col("lo").alias("x"), F.col("least").alias("y")))).alias("e")).select(F.col("e.x").alias("hi"), F.col("e.y").alias("lo")).filter("hi != lo").distinct()
         small_path = scratch(spark, "edges")
         small = materialize(small, small_path)
         both = small.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(small.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
-        large = skew_join(both.filter("v > u"), least, "u", F.col("v"), mark[0], counts="n")
+        large = skew_join(both.filter("v > u"), least, "u", F.col("v"), n, counts="n")
         next_path = scratch(spark, "edges")
-        edges = materialize(large.select(F.col("v").alias("hi"), F.col("least").alias("lo")).distinct(), next_path)
+        edges, n = _written(large.select(F.col("v").alias("hi"), F.col("least").alias("lo")).distinct(), next_path)
         remove(spark, path, small_path)
-        path, before, mark = next_path, mark, _mark(edges)
-        if mark == before:
-            break
+        path = next_path
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())

@@ -14,10 +14,20 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name`, with as many underscores more as set it apart from the columns of `frames`."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder. A folder of our own only where none is set and driver and tasks share a machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quillmesh-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,8 +39,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a cut lineage that outlives executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write `df` to the shared folder and read it back: a cut lineage that outlives executors.
+
+    Shuffle files of the plan go when it has been written, as nothing reads them again.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,15 +78,16 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, rows:
     `spread`; the right side repeats its rows of that key once a salt, so the repeats
     number HOT_KEYS at most over all keys. Only (key, salts) of hot keys is broadcast.
     `how`: inner or left. `counts`: the column of `right`, one row a key, that has the
-    number of left rows of its key; without it they are counted. Other columns must have
-    different names.
+    number of left rows of its key; without it they are counted. Columns other than the
+    key must have different names on the two sides; any names will do.
     """
+    hot_key, salts, salt_l, salt_r, key_r = (free_name(x, left, right) for x in ("hot_key", "salts", "salt_", "salt_r", "key_"))
     if counts:
         share = max(32, math.ceil(rows / HOT_KEYS))
-        hot = right.filter((F.col(counts) > share) & F.col(key).isNotNull()).select(F.col(key).alias("hot_key"), F.ceil(F.col(counts) / share).cast("int").alias("salts"))
+        hot = right.filter((F.col(counts) > share) & F.col(key).isNotNull()).select(F.col(key).alias(hot_key), F.ceil(F.col(counts) / share).cast("int").alias(salts))
     else:
-        hot = materialize(hot_keys(left, key, rows), scratch(left.sparkSession, "hot"))
+        hot = materialize(hot_keys(left, key, rows), scratch(left.sparkSession, "hot")).toDF(hot_key, salts)
     some = F.broadcast(hot)
-    salted = left.join(some, F.col(key) == F.col("hot_key"), "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0)).cast("int")).drop("hot_key", "salts")
-    dealt = right.withColumnRenamed(key, "key_").join(some, F.col("key_") == F.col("hot_key"), "left").withColumn("salt_r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("hot_key", "salts")
-    return salted.join(dealt, (F.col(key) == F.col("key_")) & (F.col("salt_") == F.col("salt_r")), how).drop("salt_", "salt_r", "key_")
+    salted = left.join(some, F.col(key) == F.col(hot_key), "left").withColumn(salt_l, F.coalesce(F.pmod(F.xxhash64(spread), F.col(salts)), F.lit(0)).cast("int")).drop(hot_key, salts)
+    dealt = right.withColumnRenamed(key, key_r).join(some, F.col(key_r) == F.col(hot_key), "left").withColumn(salt_r, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts) - 1, F.lit(0))))).drop(hot_key, salts)
+    return salted.join(dealt, (F.col(key) == F.col(key_r)) & (F.col(salt_l) == F.col(salt_r)), how).drop(salt_l, salt_r, key_r)
