@@ -188,7 +188,8 @@ class ChunkIds(dict):
     """Id bytes of white-space-free chunks, remembered up to a bound."""
 
     BOUND = 1_200_000
-    #: Never within one match with a letter or digit before them.
+    #: Never within one match with an ASCII letter or digit before them. Others may decompose when
+    #: the tokenizer normalises, and their last mark then stands in one match with what follows.
     TAIL = ".,;:!?%&$#*"
 
     def __init__(self, tokenizer: Tokenizer, dtype: str):
@@ -199,7 +200,7 @@ class ChunkIds(dict):
         if len(self) >= self.BOUND:
             self.clear()
         core = chunk.rstrip(self.TAIL)
-        if core and core != chunk and core[-1].isalnum():
+        if core and core != chunk and core[-1].isascii() and core[-1].isalnum():
             value = self[core] + self[chunk[len(core) :]]
         elif chunk.isascii() and chunk.isalpha() and not chunk.islower() and self.folds:
             value = self[chunk.lower()]
@@ -229,9 +230,9 @@ def encoder(tokenizer_json: str, width: int, drops_blanks: bool) -> Callable[[st
 def write_shards(docs: DataFrame, where: str, tokenizer: Broadcast, end_id: int, width: int = 2, drops_blanks: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every document and write shards under `where`; returns the manifest (one row a shard).
 
-    Documents are range-partitioned by id, so the shards' key ranges ascend and do not
-    overlap; rows that repeat an id lie in one shard, ordered by text. A null id comes
-    first; a null text counts as empty and holds the end id alone. `width`: bytes an id
+    Documents are range-partitioned by id and a hash of the text, so the shards' key ranges
+    ascend and meet at most where rows repeat an id; such rows are ordered by that hash and
+    the text, and many of them (or null ids) lie in several shards. A null id comes first; a null text counts as empty and holds the end id alone. `width`: bytes an id
     (2 or 4). A task writes a file of its own name, and only files that the manifest
     names count, so a task that runs again does no harm. Other columns are not read.
     """
@@ -257,7 +258,7 @@ def write_shards(docs: DataFrame, where: str, tokenizer: Broadcast, end_id: int,
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "first_id": [id_of(first)], "last_id": [last], "n_docs": [writer.entries], "n_tokens": [writer.ids]}, schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ranged = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text_").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text_")
+    ranged = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text_").withColumn("by_text", F.xxhash64("text_")).repartitionByRange("doc_id", "by_text").sortWithinPartitions("doc_id", "by_text", "text_").drop("by_text")
     return materialize(ranged.mapInArrow(run, "file string, first_id long, last_id long, n_docs long, n_tokens long"), f"{where}/manifest")
 
 
@@ -268,7 +269,7 @@ def read_shards(manifest: DataFrame, where: str) -> DataFrame:
     shard, so its running total is formed on the driver.
     """
     spark = manifest.sparkSession
-    shards = sorted(manifest.collect(), key=lambda r: key_of(r.first_id))
+    shards = sorted(manifest.collect(), key=lambda r: (key_of(r.first_id), key_of(r.last_id), r.file))
     listed, at = [], 0
     for r in shards:
         listed.append((r.file, at))
@@ -298,7 +299,7 @@ def lookup(manifest: DataFrame, where: str, doc_id: int | None) -> list[list[int
     """The ids of one document, by binary search: manifest, then index, then one block."""
     m = manifest.filter(F.lit(doc_id).isNull() if doc_id is None else (F.coalesce("first_id", F.lit(-(2**63))) <= doc_id) & (F.col("last_id") >= doc_id))
     out = []
-    for r in sorted(m.collect(), key=lambda r: key_of(r.first_id)):
+    for r in sorted(m.collect(), key=lambda r: (key_of(r.first_id), key_of(r.last_id), r.file)):
         fs, folder = open_fs(where)
         with fs.open_input_file(f"{folder}/{r.file}") as f:
             table = Reader(f)
