@@ -8,10 +8,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.operators.scale import HOT_KEYS, materialize, remove, scratch, shared_dir, skew_join
+from quillmesh.operators.scale import HOT_KEYS, free_name, materialize, remove, scratch, shared_dir, skew_join
 from quillmesh.session import ship
 
-__all__ = ["HOT_KEYS", "Query", "held", "materialize", "remove", "scratch", "setup", "shared_dir", "shingle_hashes", "shingle_set", "skew_join", "table", "word_hashes"]
+__all__ = ["HOT_KEYS", "Query", "free_name", "held", "materialize", "remove", "scratch", "setup", "shared_dir", "shingle_hashes", "shingle_set", "skew_join", "table", "word_hashes"]
 
 def setup(spark: SparkSession) -> None:
     """Ship the package, and bound the Arrow batches that reach Python, whatever the length of the texts."""

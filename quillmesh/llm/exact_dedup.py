@@ -38,30 +38,28 @@ def combine(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     return winners.groupBy("digest_", "norm_").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256, salts: int = SALTS, keep_columns: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256, salts: int = SALTS, with_row: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, digest_.
 
     Texts are equal when their normalised forms are identical; null counts as empty.
     The largest id of a group stays. A null id ranks lowest; where all ids of a group
     are null, keep_id is null and its rows count as kept. Rows that repeat both the
     winning id and its text all count as kept. An empty table gives an empty result.
-    Other columns of `docs` are ignored, or kept with `keep_columns` (they must not be
-    named as the columns above). Different texts with one digest stay apart: the
-    second path then joins on the content as well.
+    Other columns of `docs` are not read, or with `with_row` stand together in the struct
+    `row`, which has all columns of `docs` whatever their names. Different texts with one
+    digest stay apart: the second path then joins on the content as well.
     """
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("norm_"), *([F.col(text_col).alias("text_")] if keep_columns else []), *extra).withColumn("digest_", digest(F.col("norm_")))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("norm_"), *row).withColumn("digest_", digest(F.col("norm_")))
     merged = combine(rows.select("doc_id", "digest_", "norm_"), salts)
     groups = merged.groupBy("digest_").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     groups = materialize(groups, scratch(spark, "groups"))
     seen = groups.agg(F.sum("group_size").alias("n"), F.max("texts").alias("texts")).first()
     if (seen.texts or 1) > 1:  # a digest collision: the content decides
-        exact = merged.withColumnRenamed("norm_", "key_").withColumnRenamed("digest_", "digest_r")
-        out = rows.join(exact, (F.col("digest_") == F.col("digest_r")) & (F.col("norm_") == F.col("key_"))).drop("key_", "digest_r")
+        exact = materialize(merged.withColumn("key", F.struct("digest_", "norm_")).select("key", "keep_id", "group_size"), scratch(spark, "texts"))
+        out = skew_join(rows.withColumn("key", F.struct("digest_", "norm_")), exact, "key", F.coalesce(F.col("doc_id"), F.lit(0)), seen.n or 0, counts="group_size").drop("key")
     else:
-        out = skew_join(rows if keep_columns else rows.select("doc_id", "digest_"), groups.drop("texts"), "digest_", F.col("doc_id"), seen.n or 0, counts="group_size")
+        out = skew_join(rows.drop("norm_"), groups.drop("texts"), "digest_", F.coalesce(F.col("doc_id"), F.lit(0)), seen.n or 0, counts="group_size")
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    if keep_columns:
-        return out.drop("norm_").withColumnsRenamed({"text_": text_col, "doc_id": id_col})
-    return out.select("doc_id", "keep_id", "group_size", "kept", "digest_")
+    return out.select("doc_id", "keep_id", "group_size", "kept", "digest_", *(["row"] if with_row else []))
