@@ -175,11 +175,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for text in texts:
         df.update(set(words_of(text)))
         ids = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
-        index, mask = windows_of(ids)
-        if len(index) > TRAIN_WINDOWS:
-            some = np.sort(r.choice(len(index), TRAIN_WINDOWS, replace=False))
-            index, mask = index[some], mask[some]
-        docs.append((index, mask))
+        docs.append(windows_of(ids))
     if not number:
         number[""] = 0
     vocabulary = list(number)
@@ -205,6 +201,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     model.p["word"][word_rows[known], 0] = odds(in_word)[known]
     model.p["word"][0] = 0
     model.p["char"][:, 0] = np.where(in_gram.sum(axis=0) >= LEAST_DF, odds(in_gram), 0)
+    told = np.maximum(odds(in_word), 0)
+    for i in train:  # of a long document, the windows whose words tell most of the label
+        index, mask = docs[i]
+        if len(index) > TRAIN_WINDOWS:
+            some = np.sort(np.argsort(-(told[index] * mask).sum(axis=1), kind="stable")[:TRAIN_WINDOWS])
+            docs[i] = index[some], mask[some]
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
@@ -246,9 +248,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
                 model.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    if held.any():
-        best = np.concatenate([logits(part, False)[0] for part in np.array_split(np.flatnonzero(held), max(1, held.sum() // BATCH)) if len(part)])
-        model.scale, model.shift = calibrate(best, y[held])
+    if len(set(labels)) < 2:  # nothing tells the labels apart: every text gets the score of an unknown one
+        model.scale, model.shift = 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if min(labels, default=0) == 0 else 0.0
+    elif held.any():
+        model.scale, model.shift = calibrate(Scorer(model).best([texts[i] for i in np.flatnonzero(held)]), y[held])  # on all windows
     return model
 
 
@@ -306,7 +309,8 @@ class Scorer:
             index, mask = windows_of(self._numbers(words[at : at + span + OVERLAP]))
             yield self.model.run({d: self.table[d] for d in "fb"}, index, mask)[0]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def best(self, texts: list[str | None]) -> np.ndarray:
+        """The largest logit of all windows of each text."""
         best = np.full(len(texts), -np.inf)
         held, owners, size = [], [], 0
 
@@ -340,7 +344,10 @@ class Scorer:
             if size >= self.STEP:
                 flush()
         flush()
-        z = self.model.scale * best + self.model.shift
+        return best
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        z = self.model.scale * self.best(texts) + self.model.shift
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -353,8 +360,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most `per_label` labelled documents of each label, taken by a hash of the id.
 
     `held_out(id)` is a condition on rows that training must not see. Rows without a
-    label, id or text are not used. With no labelled rows at all the model stays as
-    initialised.
+    label, id or text are not used. Where there are no rows of one label, nothing tells
+    the labels apart and all texts get one score, below REJECT.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label_")).filter("label_ in (0, 1) and doc_id is not null")
     if held_out is not None:
