@@ -44,7 +44,6 @@ class Partition:
         keys, owner = np.concatenate(sketches, axis=1)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order].astype(np.int64)
-        self.every = np.unique(np.concatenate([s for _, s in items]))
 
     def search(self, shingles: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
         """(item, size, shared) of the items that the sorted set contains."""
