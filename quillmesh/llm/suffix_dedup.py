@@ -33,9 +33,13 @@ from .common import materialize, remove, scratch, skew_join
 from .difference_cover import suffix_order
 
 LENGTH, GRAM = 50, 26
+#: Anchors' 32-bit codes that one task compares, in bytes, about.
+BIN_BYTES = 48 << 20
+#: Bytes of a chunk to each bin at least, so that a chunk has a good many codes (one in 13 bytes) in each.
+CHUNK_SHARE = 1 << 10
 #: Anchor starts that a string of LENGTH bytes holds, and so strings that one anchor has at most.
 SPAN = LENGTH - GRAM + 1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, WIDE_CHUNK_BYTES = 16 << 20, 64 << 20
 #: Bytes of contexts that one suffix array covers, about.
 ARRAY_BYTES = 1 << 20
 #: Bytes of text whose anchors are found at a time.
@@ -48,11 +52,6 @@ NULL_ID = -(2**63)
 LEVELS = 3
 
 
-def settle(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of plans that are done."""
-    spark._jvm.System.gc()
-
-
 def gram_hashes(a: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of GRAM bytes."""
     with np.errstate(over="ignore"):
@@ -78,8 +77,13 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     """(text number, first string, last string, anchor start, anchor hash) arrays, a step of texts at a time.
 
     Strings are named by their start within the text; each string of LENGTH bytes is in
-    exactly one row, that of its leftmost least anchor.
+    exactly one row, that of its leftmost least anchor. Texts longer than STEP are gone
+    through in pieces.
     """
+    number = np.array([i for i, t in enumerate(texts) for _ in range(0, max(1, len(t) - LENGTH + 1), STEP)], np.int64)
+    before = np.array([a for t in texts for a in range(0, max(1, len(t) - LENGTH + 1), STEP)], np.int64)
+    # a long text in pieces, one byte less than a string in common
+    texts = [texts[i][a : a + STEP + LENGTH - 1] if len(texts[i]) > STEP else texts[i] for i, a in zip(number, before, strict=True)]
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -104,10 +108,24 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
                 new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
                 last = np.append(new[1:], len(least)) - 1
                 text = owner[new]
-                yield text + at, inside[new] - starts[text], inside[last] - starts[text], least[new] - starts[text], h[least[new]]
+                shift = before[text + at] - starts[text]
+                yield number[text + at], inside[new] + shift, inside[last] + shift, least[new] + shift, h[least[new]]
         at = end
 
 
+def layout(total: int) -> tuple[int, int]:
+    """Chunks and bins for so many bytes of text.
+
+    Each chunk sends a row to each bin. Bins are as many as it takes to compare BIN_BYTES
+    at a time, but no more than leave a row a good many codes, so rows are in proportion
+    to codes at any size. Where that bound holds (from 10^12 bytes on), chunks widen.
+    """
+    code_bytes = 4 * total / 13
+    bins = max(12, math.ceil(code_bytes / BIN_BYTES))
+    size = CHUNK_BYTES if bins <= CHUNK_BYTES // CHUNK_SHARE else WIDE_CHUNK_BYTES
+    return max(12, math.ceil(total / size)), min(bins, size // CHUNK_SHARE)
+
+
 def codes(h: np.ndarray, bins: int) -> np.ndarray:
     return (h >> np.uint64(32)) % np.uint64(bins) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
@@ -166,12 +184,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text_"))
     total = rows.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
-    chunks = max(12, math.ceil(total / CHUNK_BYTES))
-    bins = max(12, math.ceil(chunks / 3))
+    chunks, bins = layout(total)
     name, where = f"quillmesh_chunks_{uuid.uuid4().hex[:12]}", scratch(spark, "chunks")
-    folded(rows, chunks).write.format("parquet").option("compression", "zstd").option("path", where).bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(name)
-    texts = spark.table(name)
-    settle(spark)
+    used = [where]
+    try:
+        folded(rows, chunks).write.format("parquet").option("compression", "zstd").option("path", where).bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(name)
+        judged = materialize(cut_texts(spark.table(name), bins, used), scratch(spark, "judged"))
+    finally:  # also where a step fails
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, *used)
+    text = F.coalesce(F.col("text_"), F.lit(""))
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), judged
+
+
+def cut_texts(texts: DataFrame, bins: int, used: list[str]) -> DataFrame:
+    """One row a different text: digest_, rep, n_removed, n_spans, kept_sha256; `used` gets the scratch tables that it reads."""
+    spark = texts.sparkSession
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        used.append(scratch(spark, tag))
+        return materialize(df, used[-1])
 
     def send(key, tab):
         code, several = chunk_codes(tab.column("data").to_pylist(), bins)
@@ -193,9 +225,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"chunk": tab.column("chunk"), "bin": tab.column("bin"), "bits": pa.array(bits, pa.binary())})
 
     flags = texts.groupBy("chunk").applyInArrow(send, "bin long, chunk long, n long, low binary").groupBy("bin").applyInArrow(compare, "chunk long, bin long, bits binary")
-    flags_at = scratch(spark, "flags")
-    flags = materialize(flags, flags_at)
-    settle(spark)
+    flags = kept(flags, "flags")
 
     def contexts(key, tab, flag):
         data, digests, ids = tab.column("data").to_pylist(), tab.column("digest").to_pylist(), tab.column("doc_id").to_pylist()
@@ -216,13 +246,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key_of, id_of = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64), np.array(ids, np.int64)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(who), pa.int64()), "of": pa.array(key_of[who] if who else [], pa.int64()), "doc_id": pa.array(id_of[who] if who else [], pa.int64()), "pos": pa.array(where_, pa.int32()), "anchor": pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), "context": pa.array(made, pa.binary())})
 
-    found_at = scratch(spark, "contexts")
     found = texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(contexts, "chunk long, of long, doc_id long, pos int, anchor long, context binary")
-    found = materialize(found, found_at)
-    settle(spark)
-    gone_at = scratch(spark, "gone")
-    gone = materialize(removed_strings(found), gone_at)
-    settle(spark)
+    found = kept(found, "contexts")
+    gone = kept(removed_strings(found), "gone")
 
     def cut(key, tab, marks):
         place: dict[int, list[int]] = {}
@@ -246,13 +272,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             shas.append(hashlib.sha256(np.frombuffer(data, np.uint8)[~gone_].tobytes()).hexdigest())
         return pa.table({"digest_": tab.column("digest"), "rep": tab.column("doc_id"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
 
-    judged = texts.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(cut, "digest_ binary, rep long, n_removed long, n_spans long, kept_sha256 string")
-    judged = materialize(judged, scratch(spark, "judged"))
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, where, flags_at, found_at, gone_at)
-    settle(spark)
-    text = F.coalesce(F.col("text_"), F.lit(""))
-    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), judged
+    return texts.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(cut, "digest_ binary, rep long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_strings(found: DataFrame) -> DataFrame:
