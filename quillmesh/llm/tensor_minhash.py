@@ -1,17 +1,18 @@
 """MinHash near-dedup with tensored banding.
 
 Two collections of `side` half keys, each over `rows` minhashes, stand for side x side
-tables: the key of table (i, j) combines half i of one with half j of the other. A
+tables: the key of table (i, j) is formed of half i of one and half j of the other. A
 document thus takes 2 * side * rows minhashes in place of side * side * 2 * rows. The
-tables are not written out: documents are dealt by half i, and half j completes the key
-when two of them meet.
+tables are not written out, which would take side * side rows a document: documents are
+dealt by half i, and half j completes the key when two of them meet.
 
 Candidates are checked on the full shingle sets. In the first round the smallest document
-of a bucket is compared with its other members. In later rounds,
-where members of a bucket are still in several components, those outside its largest one
-are compared with the rest, HUBS of them at a time, until no bucket is open: no link between
-components is lost. Those comparisons stay within blocks of bounded size and give links
-alone, never pairs.
+of a bucket is compared with its other members. Where that leaves a bucket in several
+components, later rounds compare those outside its largest one with the rest, HUBS of
+them at a time, until no bucket is open: no link between components is lost. These
+comparisons stay within blocks of bounded size; a block joins its components as it finds
+links, skips pairs that are joined already, and gives one row a join, so less rows than
+it has members.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ ROWS = 3
 #: A pair at the threshold is missed with this probability at most.
 MISS = 2e-4
 #: Hubs that a bucket takes in a later round, on average.
-HUBS = 2048
+HUBS = 512
 #: Other members that meet the hubs in one task, about.
-BLOCK = 1024
+BLOCK = 512
 
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -77,116 +78,153 @@ def signatures(docs: DataFrame, words: int, side: int, id_col: str, text_col: st
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}`").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, halves array<long>")
 
 
+def shared_size(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets, none empty."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
     """The pairs (a, b) whose full sets share enough: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        known: dict[str, np.ndarray] = {}  # sets of the last hubs, by their texts
+
+        def of(text: str) -> np.ndarray:
+            if text not in known:
+                if len(known) >= 16:
+                    known.clear()
+                known[text] = shingle_set(text, words)
+            return known[text]
+
         for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                key = hash(ta.as_py())
-                if key not in held:
-                    if len(held) >= 16:
-                        held.clear()
-                    held[key] = shingle_set(ta.as_py(), words)
-                x, y = held[key], shingle_set(tb.as_py(), words)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if not len(small):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked = []
+            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = of(ta.as_py()), shingle_set(tb.as_py(), words)
+                both = shared_size(x, y) if len(x) and len(y) else 0
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text_").alias("text_b")), "b")
     both = skew_join(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text_").alias("text_a")), "a", F.col("b"), rows)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def in_table(side: int) -> str:
-    """Whether rep and hub, which agree in half `slot` of the first collection, share a table's key.
-
-    Table (i, j) has the key of halves i and j, so they do where a half of the second
-    collection agrees as well; and each pair counts once, in the first slot that it shares.
-    """
-    same = "zip_with(halves, hub_halves, (x, y) -> x = y)"
-    return f"array_position(slice({same}, 1, {side}), true) = slot + 1 and array_contains(slice({same}, {side + 1}, {side}), true)"
-
-
-def shingle_rows(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): the full sets of `reps`, sorted, as bytes."""
+def shingle_rows(texts: DataFrame, reps: DataFrame, words: int, side: int) -> DataFrame:
+    """(rep, halves, shingles): half keys and full sets of `reps`, sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["rep", "shingles"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            halves = [half_keys(x, side).tobytes() if len(x) else bytes(16 * side) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "halves", "shingles"])
 
-    return texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, shingles binary")
+    return texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, halves binary, shingles binary")
 
 
-def block_links(rows: DataFrame, side: int, percent: int) -> DataFrame:
-    """The links (a, b) between hubs and other members of a block, checked on the full sets.
+def joined(component: np.ndarray, hubs: np.ndarray, halves: np.ndarray, slot: int, sets: list[np.ndarray], percent: int, among: bool) -> list[tuple[int, int]]:
+    """The joins (component, component) that links between hubs and other members make.
 
-    rows: key, block, rep, slot, halves, component, is_hub, shingles; a block has the hubs
-    of its bucket and BLOCK other members about. Pairs stay within the block's arrays:
-    one pass over the members' sets a hub; only links leave.
+    A pair counts where it has a table's key in common, and in the first slot of the
+    first collection that it shares, so once. Members of one component are never
+    compared, and a found link makes two components one from then on, so there are fewer
+    joins than components. `among`: whether hubs are compared with each other too.
+    """
+    side = halves.shape[1] // 2
+    component, size = component.copy(), np.array([len(x) for x in sets])
+    every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
+    done, out = np.zeros(len(sets), bool) if among else hubs.copy(), []
+    for h in np.flatnonzero(hubs):
+        done[h] = True
+        # sets of sizes that can reach the threshold
+        meet = (component != component[h]) & ~done & (size > 0) & (100 * np.minimum(size, size[h]) >= percent * np.maximum(size, size[h]))
+        which = np.flatnonzero(meet)
+        same = halves[which] == halves[h]
+        which = which[~same[:, :slot].any(axis=1) & same[:, side:].any(axis=1)]
+        if not len(which):
+            continue
+        if len(which) < len(sets) // 4:
+            part, at, n = np.concatenate([sets[i] for i in which]), np.concatenate([[0], np.cumsum(size[which])[:-1]]), size[which]
+        else:
+            part, at, n = every, starts[which], size[which]
+        hit = sets[h][np.minimum(np.searchsorted(sets[h], part), size[h] - 1)] == part
+        total = np.concatenate([[0], np.cumsum(hit)])
+        both = total[at + n] - total[at]
+        met = np.unique(component[which[100 * both >= percent * (n + size[h] - both)]])
+        out += [(int(component[h]), int(c)) for c in met]
+        component[np.isin(component, met)] = component[h]
+    return out
+
+
+def block_joins(rows: DataFrame, percent: int) -> DataFrame:
+    """The joins (a, b) of components by links between hubs and other members of a block.
+
+    rows: key (a half of the first collection), block, rep, component, is_hub, halves,
+    shingles; a block has the hubs of its bucket and BLOCK other members about. Hubs meet
+    each other in block 0.
     """
 
     def run(key, tab):
-        reps, hubs = tab.column("rep").to_numpy(), tab.column("is_hub").to_numpy()
-        halves = np.array(tab.column("halves").to_pylist(), np.int64)
-        component, slot = tab.column("component").to_numpy(), tab.column("slot")[0].as_py()
         sets = [np.frombuffer(x, np.uint64) for x in tab.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
-        found: list[tuple[int, int]] = []
-        for h in np.flatnonzero(hubs):
-            same = halves == halves[h]
-            # a table's key in common, in the first slot that the pair shares; sets of sizes that can reach the threshold
-            meet = ~same[:, :slot].any(axis=1) & same[:, side:].any(axis=1) & (component != component[h]) & (~hubs | (reps < reps[h]))
-            meet &= (100 * np.minimum(size, size[h]) >= percent * np.maximum(size, size[h])) & (size > 0)
-            if not meet.any():
-                continue
-            which = np.flatnonzero(meet)
-            if len(which) < len(sets) // 4:
-                part, at = np.concatenate([sets[i] for i in which]), np.concatenate([[0], np.cumsum(size[which])[:-1]])
-            else:
-                which, part, at = np.arange(len(sets)), every, starts
-            hit = sets[h][np.minimum(np.searchsorted(sets[h], part), size[h] - 1)] == part
-            total = np.concatenate([[0], np.cumsum(hit)])
-            both = total[at + size[which]] - total[at]
-            good = meet[which] & (100 * both >= percent * (size[which] + size[h] - both))
-            found += [(min(int(reps[h]), int(x)), max(int(reps[h]), int(x))) for x in reps[which[good]]]
+        halves = np.array([np.frombuffer(x, np.int64) for x in tab.column("halves").to_pylist()])
+        slot = int(np.flatnonzero((halves == key[0].as_py()).any(axis=0))[0])
+        found = joined(tab.column("component").to_numpy(), tab.column("is_hub").to_numpy(), halves, slot, sets, percent, key[1].as_py() == 0)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "block").applyInArrow(run, "a long, b long")
 
 
-def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of the representatives that are linked with another one."""
-    spark = docs.sparkSession
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) of the same components: a document's first hub stands for its others.
+
+    A document has a hub a half at most, so its list is bounded.
+    """
+    hubs = links.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("hubs"))
+    other = F.expr("transform(slice(hubs, 2, size(hubs)), h -> struct(hubs[0] AS a, h AS b))")
+    return hubs.select(F.explode(F.concat(F.array(F.struct(F.col("hubs")[0].alias("a"), "b")), other)).alias("l")).select("l.a", "l.b").distinct()
+
+
+def in_table(side: int) -> str:
+    """Whether rep and hub, which agree in half `slot` of the first collection, share a table's key.
+
+    Table (i, j) has the key of halves i and j, so they do where a half of the second
+    collection agrees as well; and each pair counts once, in the first slot that it shares.
+    """
+    same = "zip_with(halves, hub_halves, (x, y) -> x = y)"
+    return f"array_position(slice({same}, 1, {side}), true) = slot + 1 and array_contains(slice({same}, {side + 1}, {side}), true)"
+
+
+def table_members(classes: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """(members, wanted). members: (key, rep, hub, in_table), one row a document and half of
+    the first collection that several documents have, hub being the smallest of them;
+    wanted: the ids (doc_id) that have a shared half in either collection."""
+    spark = classes.sparkSession
     n = classes.count()
     half = classes.filter("rep is not null").select("rep", F.posexplode("halves").alias("slot", "half"))
     shared = materialize(half.groupBy("half").agg(F.count(F.lit(1)).alias("n_half")).filter("n_half > 1"), scratch(spark, "shared"))
     # a table's key can be shared only where both its halves are
     met = skew_join(half, shared, "half", F.col("rep"), 2 * side * n, counts="n_half").groupBy("rep").agg(F.min("slot").alias("low"), F.max("slot").alias("high"))
     wanted = materialize(met.filter((F.col("low") < side) & (F.col("high") >= side)).select(F.col("rep").alias("doc_id")), scratch(spark, "wanted"))
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_")).join(wanted, "doc_id", "left_semi"), scratch(spark, "texts"))
-    # a row for each half key of the first collection; the second one completes a table's key in the pair
-    members = classes.join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "halves", F.posexplode(F.slice("halves", 1, side)).alias("slot", "key"))
-    buckets = members.groupBy("key").agg(F.min_by(F.struct("rep", "halves"), "rep").alias("least"), F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
+    rows = classes.join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "halves", F.posexplode(F.slice("halves", 1, side)).alias("slot", "key"))
+    buckets = rows.groupBy("key").agg(F.min_by(F.struct("rep", "halves"), "rep").alias("least"), F.count(F.lit(1)).alias("n_key")).filter("n_key > 1")
     buckets = buckets.select("key", F.col("least.rep").alias("hub"), F.col("least.halves").alias("hub_halves"), "n_key")
-    members = materialize(skew_join(members, buckets, "key", F.col("rep"), side * n, counts="n_key"), scratch(spark, "members"))
-    pairs = materialize(members.filter("rep != hub").filter(in_table(side)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch(spark, "pairs"))
-    links = materialize(verified(pairs, texts, words, percent, pairs.count()), scratch(spark, "links"))
-    found = materialize(components(links), scratch(spark, "components"))
-    members = members.select("rep", "halves", "slot", "key")
-    turn, sets = 0, None
+    members = skew_join(rows, buckets, "key", F.col("rep"), side * n, counts="n_key").select("key", "rep", "hub", F.expr(in_table(side)).alias("in_table"))
+    return materialize(members, scratch(spark, "members")), wanted
+
+
+def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of the representatives that can have a link."""
+    spark = docs.sparkSession
+    members, wanted = table_members(classes, side)
+    texts = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_")).join(wanted, "doc_id", "left_semi"), scratch(spark, "texts"))
+    pairs = materialize(members.filter("rep != hub and in_table").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), scratch(spark, "pairs"))
+    links = materialize(thinned(verified(pairs, texts, words, percent, pairs.count())), scratch(spark, "links"))
+    linked = components(links)
+    found = materialize(wanted.distinct().join(linked, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), scratch(spark, "components"))
+    turn, sets, n_nodes, members = 0, None, found.count(), members.select("key", "rep")
     while True:  # buckets whose members are in several components
         turn += 1
-        labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        labelled = materialize(labelled, scratch(spark, "labelled"))
+        labelled = materialize(members.join(found.withColumnRenamed("node", "rep"), "rep"), scratch(spark, "labelled"))
         parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         several = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_key"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
         several = materialize(several.select("key", "n_key", F.col("most.component").alias("main"), (F.col("n_key") - F.col("most.n")).alias("others")), scratch(spark, "open"))
@@ -194,18 +232,18 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
         if not left:
             return found
         if sets is None:
-            in_open = materialize(labelled.join(several.select("key"), "key", "left_semi").select("rep").distinct(), scratch(spark, "unsettled"))
-            sets = materialize(shingle_rows(texts, in_open, words), scratch(spark, "sets"))
+            sets = materialize(shingle_rows(texts, labelled.select("rep").distinct(), words, side), scratch(spark, "sets"))
         # a pair of two components has a member outside the bucket's largest one: those are the hubs
         chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < HUBS)
-        open_ = materialize(skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).withColumn("blocks", F.ceil(F.col("n_key") / BLOCK).cast("int")), scratch(spark, "round"))
+        open_ = skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).withColumn("blocks", F.ceil(F.col("n_key") / BLOCK).cast("int"))
+        open_ = materialize(open_.select("key", "rep", "component", "is_hub", "blocks"), scratch(spark, "round"))
         own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = open_.withColumn("block", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-        new = materialize(block_links(dealt.select("key", "block", "rep", "slot", "halves", "component", "is_hub").join(sets, "rep"), side, percent), scratch(spark, "links"))
-        members = open_.filter("not is_hub").select("rep", "halves", "slot", "key")
+        new = materialize(block_joins(dealt.select("key", "block", "rep", "component", "is_hub").join(sets, "rep"), percent), scratch(spark, "joins"))
+        members = open_.filter("not is_hub").select("key", "rep")
         if not new.isEmpty():
-            links = links.union(new)
-            found = materialize(components(links), scratch(spark, "components"))
+            merged = materialize(components(new).select(F.col("component").alias("into"), F.col("node").alias("component")), scratch(spark, "merged"))
+            found = materialize(skew_join(found.withColumnRenamed("node", "rep"), merged, "component", F.col("rep"), n_nodes, how="left").select(F.col("rep").alias("node"), F.coalesce("into", "component").alias("component")), scratch(spark, "components"))
 
 
 def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
