@@ -184,7 +184,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     flat, lengths = grams(vocabulary)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     y = np.array(labels, np.float32)
-    weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))  # labels count alike
+    share = float(y.sum()) / max(1, len(y))
+    weight = np.where(y > 0.5, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))  # labels count alike
     held = r.random(len(docs)) < 0.2  # for the calibration alone
     train = np.flatnonzero(~held)
     # the first coordinates start from the log odds of the label, of documents that have the word or n-gram

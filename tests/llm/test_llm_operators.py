@@ -65,6 +65,35 @@ def test_shards_round_trip(spark, docs):
     assert sstable.lookup(manifest, where, 55_555) == []
 
 
+def test_remembered_chunks_give_the_library_ids():
+    """Composed, decomposing, case-expanding and combining characters before and after punctuation."""
+    js = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    t, r = Tokenizer.from_str(js), random.Random(17)
+    ids = sstable.encoder(js, 4, drops_blanks=True)
+    want = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("\u0130*", "\u09af\u09bc,", "\u09df,", "\u095c?", "\u0958.", "\u00e9.", "e\u0301.", "\ufb01!", "\u1e9e;", "\u212b:", "\u03a3.", "x\u0345.", "a \u0301b"):
+        assert ids(text) == want(text), text
+    odd = [chr(c) for c in (0x130, 0x149, 0x1F0, 0x300, 0x301, 0x327, 0x345, 0x3A3, 0x958, 0x95C, 0x9DC, 0x9DF, 0x9BC, 0xA59, 0xB5C, 0xF43, 0x1E9E, 0x212B, 0x2126, 0xAC00, 0x1100, 0x1161, 0xFB01, 0xFB1D, 0x1D15E, 0x200D, 0xA0)]
+    pieces = [*odd, *"aZz09'", *sstable.ChunkIds.TAIL, "-", "_", " ", "\n", "\t", "word", "ÉT"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 9)))
+        assert ids(text) == want(text), ascii(text)
+
+
+def test_shards_spread_rows_of_one_id(spark):
+    js = spark.sparkContext.broadcast(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    where = scratch(spark, "sst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), where, js, 2, drops_blanks=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(sstable.read_shards(manifest, where).collect(), key=lambda x: x.start)
+    assert len({x.file for x in got if x.doc_id is None}) > 1 and len({x.file for x in got if x.doc_id == 7}) > 1
+    assert [sstable.key_of(x.doc_id) for x in got] == sorted(sstable.key_of(i) for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
+    assert len(sstable.lookup(manifest, where, 7)) == 200 and len(sstable.lookup(manifest, where, None)) == 200
+
+
 def test_shards_of_odd_rows(spark, docs, empty):
     js = spark.sparkContext.broadcast(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert sstable.token_shards(docs, js, 2, drops_blanks=True).count() == len(DOCS)
@@ -140,6 +169,50 @@ def test_minhash_edges(docs, empty):
     assert minhash_dedup(empty).count() == 0
 
 
+def test_minhash_joins_a_large_group_in_few_rows(spark, monkeypatch):
+    """5000 near copies of one text: links stay in proportion to the documents, not to their pairs."""
+    from quillmesh.llm import tensor_minhash as module
+
+    r, words = random.Random(30), [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(5000):
+        w = list(words)
+        for _ in range(1 + (i % 20 == 7) * 2):  # a few are too far from the others
+            w[r.randrange(150)] = f"x{i} {r.random()}"
+        texts.append(" ".join(w))
+    handed = []
+    real = module.components
+    monkeypatch.setattr(module, "components", lambda links: handed.append(links.count()) or real(links))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sizes = sorted(x["count"] for x in minhash_dedup(df).groupBy("component_id").count().collect())
+    assert sizes[-1] >= 4750 and sum(sizes) == 5000 and sum(handed) <= 2 * len(texts)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_minhash_later_rounds_lose_no_link(spark, monkeypatch, block):
+    from quillmesh.llm import tensor_minhash as module
+
+    monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(module, "HUBS", 5)
+    r = random.Random(31)
+    core = [f"core{i}" for i in range(60)]
+    texts = []
+    for i in range(60):  # all share much, few enough for a link
+        w = core + [f"own{i} own{i}x{j}" for j in range(14)]
+        texts.append(" ".join(w))
+        if i % 3 == 0:
+            texts.append(" ".join(w[: len(w) - r.randrange(4)]))
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    got = {x.doc_id: x.component_id for x in minhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_half_keys_miss_rate():
     r = np.random.default_rng(3)
     side, missed = side_for(85), 0
@@ -267,7 +340,13 @@ def test_exact_dedup(spark, docs, empty):
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs.select("doc_id", "text")).collect()), key=repr)
     assert got == brute_groups(DOCS)
     assert exact_dedup(empty).count() == 0
-    assert exact_dedup(docs.drop("n", "digest"), keep_columns=True).count() == len(DOCS)
+
+
+@pytest.mark.parametrize("column", ["keep_id", "norm_", "hot_key", "salts", "key_", "group_size", "text_", "salt_", "kept", "digest_", "row"])
+def test_exact_dedup_keeps_columns_of_clashing_names(spark, column):
+    df = spark.createDataFrame([(1, "A", 5), (2, "a", 6), (3, "b", None)], f"doc_id long, text string, `{column}` long")
+    got = exact_dedup(df, with_row=True).filter("kept").select("row.*")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(2, "a", 6), (3, "b", None)]
 
 
 def test_exact_dedup_survives_colliding_digests(spark):
@@ -415,3 +494,22 @@ def test_contained_items_match_brute_force(spark, monkeypatch):
         assert sorted((x.doc_id, x.item_id, x.n_item, x.n_shared) for x in contained_items(d, b).collect()) == want
         assert {x.doc_id for x in without_items(d, b).collect()} == {i for i, _ in docs} - {i for i, *_ in want}
     assert contained_items(d, b.limit(0)).count() == 0 and without_items(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("step", [192 << 10, 70])
+def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch, step):
+    from quillmesh.llm import suffix_dedup as module
+
+    monkeypatch.setattr(module, "STEP", step)
+    base = prose(41, 8, 400)
+    rows = list(enumerate([*base, base[1][30:700] + " new " + base[2], "q" * 500, base[0] + base[3], "q" * 130, *base[:2]]))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_removed(rows)
+
+
+def test_suffix_dedup_rows_between_chunks_and_bins():
+    from quillmesh.llm.suffix_dedup import layout
+
+    for total in (0, 10**9, 10**11, 10**12, 10**13, 10**14):
+        chunks, bins = layout(total)
+        assert chunks * bins * 1024 <= max(total, 12 * 12 * 1024) * 1.01 and 4 * total / 13 / bins < 500e6
