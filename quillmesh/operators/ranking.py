@@ -6,6 +6,11 @@ so passes run per list by applyInPandas, lists over the cluster.
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from functools import reduce
+from itertools import chain
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,97 +42,192 @@ def score_terms(stories: DataFrame, now_s: int, half_life: float = 12.0) -> Data
     return out.withColumn("score", base + F.col("trust_term"))
 
 
+def breaks(leans: list[str | None], window: int = QUOTA_WINDOW, share: float = QUOTA_SHARE) -> int:
+    """Windows that hold more of one lean than its share; a list shorter than a window is one."""
+    cap, n = int(window * share + 1e-9), len(leans)
+    over = np.zeros(max(0, n - min(window, n)) + 1, bool)
+    for lean in {x for x in leans if x}:
+        total = np.concatenate([[0], np.cumsum([x == lean for x in leans])])
+        over |= total[min(window, n) :] - total[: len(over)] > cap
+    return int(over.sum())
+
+
 def lean_quota(leans: list[str | None], window: int = QUOTA_WINDOW, share: float = QUOTA_SHARE) -> list[int]:
-    """The order in which positions are placed so that no window holds more than its share of one lean."""
-    cap, out, waiting = int(window * share + 1e-9), [], list(range(len(leans)))
-    while waiting:
-        recent = [leans[i] for i in out[-(window - 1) :]] if window > 1 else []
-        pick = next((k for k, i in enumerate(waiting) if not leans[i] or recent.count(leans[i]) < cap), 0)
-        out.append(waiting.pop(pick))
+    """The order in which positions are placed so that no window holds more than its share of one lean.
+
+    Each lean has a queue of its own; the next place goes to the earliest head whose lean
+    is below its cap in the last places, or to the earliest head where none is.
+    """
+    cap, out = int(window * share + 1e-9), []
+    queues: dict[str | None, deque[int]] = {}
+    for i, lean in enumerate(leans):
+        queues.setdefault(lean or None, deque()).append(i)
+    last, held = deque(), Counter()
+    while queues:
+        free = [q[0] for lean, q in queues.items() if lean is None or held[lean] < cap]
+        i = min(free or [q[0] for q in queues.values()])
+        lean = leans[i] or None
+        queues[lean].popleft()
+        if not queues[lean]:
+            del queues[lean]
+        out.append(i)
+        last.append(lean)
+        held[lean] += 1
+        if len(last) >= window:
+            held[last.popleft()] -= 1
     return out
 
 
-def repeat_cap(events: list, words: list[set[str]], window: int = REPEAT_WINDOW, most: int = REPEAT_MAX) -> list[int]:
-    """Cards over the cap of their event, or that share most rare headline words with one above, leave the top."""
-    n = len(events)
-    if n <= window:
-        return list(range(n))
-    df: dict[str, int] = {}
-    for ws in words:
-        for w in ws:
-            df[w] = df.get(w, 0) + 1
-    limit = max(2, int(n * 0.02))
-    rare = [{w for w in ws if df[w] <= limit} for ws in words]
-    kept, held, count = [], [], {}
-    for i in range(n):
-        full = len(kept) >= window
-        over = events[i] is not None and count.get(events[i], 0) >= most
-        twin = any(rare[i] and rare[k] and len(rare[i] & rare[k]) / min(len(rare[i]), len(rare[k])) > 0.5 for k in kept)
-        if full or over or twin:
-            held.append(i)
-        else:
-            kept.append(i)
-            if events[i] is not None:
-                count[events[i]] = count.get(events[i], 0) + 1
-    return kept + held
+def rare_words(words: list[set[str]]) -> list[set[str]]:
+    """Each card's words that few cards have: two, or one in fifty."""
+    df = Counter(chain.from_iterable(words))
+    most = max(2, len(words) // 50)
+    return [{w for w in ws if df[w] <= most} for ws in words]
 
 
-def breaks(leans: list[str | None], window: int = QUOTA_WINDOW, share: float = QUOTA_SHARE) -> int:
-    """Windows that hold more of one lean than its share."""
-    cap, found = int(window * share + 1e-9), 0
-    for end in range(min(window, len(leans)), len(leans) + 1):
-        part = [x for x in leans[max(0, end - window) : end] if x]
-        found += any(part.count(x) > cap for x in set(part))
-    return found
-
-
-def explore(order: list[int], neutral: list[int], leans: list[str | None], slots: tuple[int, ...] = SLOTS) -> list[int]:
-    """Each slot takes the best story at or below it by neutral score, if its move breaks no quota."""
-    out, placed = list(order), set()
-    for slot in sorted(slots):
-        if slot > len(out):
-            continue
-        pool = sorted((i for i in out[slot - 1 :] if i not in placed), key=lambda i: (-neutral[i], i))
-        base = breaks([leans[i] for i in out])
-
-        def moved(i: int, out=out, slot=slot) -> list[int]:
-            rest = [x for x in out if x != i]
-            return rest[: slot - 1] + [i] + rest[slot - 1 :]
-
-        pick = next((i for i in pool if breaks([leans[x] for x in moved(i)]) <= base), pool[0])
-        out = moved(pick)
-        placed.add(pick)
-    return out
+class Top:
+    """Cards at the top of a page, by event and by rare word, to tell which others may join them."""
 
+    def __init__(self, events: list, rare: list[set[str]], most: int = REPEAT_MAX):
+        self.events, self.rare, self.most = events, rare, most
+        self.per_event, self.by_word = Counter(), {}
 
-def floor_pass(order: list[int], must: list[bool], top: int, least: int) -> list[int]:
-    """Lift the best must-know stories until the top holds `least` of them."""
-    out = list(order)
-    missing = least - sum(must[i] for i in out[:top])
-    for i in [i for i in out[top:] if must[i]][: max(0, missing)]:
-        place = next((k for k in range(min(top, len(out)) - 1, -1, -1) if not must[out[k]]), None)
-        if place is None:
-            break
-        out.remove(i)
-        out.insert(place, i)
-    return out
+    def takes(self, i: int) -> bool:
+        """Whether card i is neither over its event's cap nor a twin of one that is here."""
+        if self.events[i] is not None and self.per_event[self.events[i]] >= self.most:
+            return False
+        common = Counter(chain.from_iterable(self.by_word.get(w, ()) for w in self.rare[i]))
+        return all(2 * n <= min(len(self.rare[i]), len(self.rare[k])) for k, n in common.items())
 
+    def add(self, i: int) -> None:
+        if self.events[i] is not None:
+            self.per_event[self.events[i]] += 1
+        for w in self.rare[i]:
+            self.by_word.setdefault(w, []).append(i)
 
-def run_passes(pages: DataFrame) -> DataFrame:
-    """(list_id, id, place): each list by score, then repeat cap, lean quota, exploration and floor.
 
-    pages: list_id, id, score, neutral (Long), event, lean, words (array), must_know.
+def repeat_cap(events: list, words: list[set[str]], window: int = REPEAT_WINDOW, most: int = REPEAT_MAX) -> list[int]:
+    """Cards over the cap of their event, or that share most rare headline words with one above, leave the top."""
+    everyone = range(len(events))
+    if len(events) <= window:
+        return list(everyone)
+    top, first = Top(events, rare_words(words), most), {}
+    for i in everyone:
+        if len(first) < window and top.takes(i):
+            top.add(i)
+            first[i] = True
+    return [*first, *(i for i in everyone if i not in first)]
+
+
+def cap_holds(order: list[int], events: list, rare: list[set[str]], window: int = REPEAT_WINDOW) -> bool:
+    """Whether the top of an order keeps the repeat cap."""
+    top = Top(events, rare)
+    for i in order[:window]:
+        if not top.takes(i):
+            return False
+        top.add(i)
+    return True
+
+
+def at_place(order: list[int], i: int, place: int) -> list[int]:
+    """`order` with i at a place from 0, the others as they were."""
+    rest = [x for x in order if x != i]
+    return rest[:place] + [i] + rest[place:]
+
+
+def explore(order: list[int], neutral: list[int], leans: list[str | None], events: list | None = None, rare: list[set[str]] | None = None, slots: tuple[int, ...] = SLOTS) -> list[int]:
+    """Each slot takes the best story at or below it by neutral score.
+
+    Of those whose move keeps the repeat cap (of all where none does), the best one whose
+    move breaks no more of the lean quota, or the best outright where each breaks it.
+    """
+    lean_breaks = lambda o: breaks([leans[i] for i in o])
+
+    def fill(state: tuple[list[int], frozenset[int]], slot: int) -> tuple[list[int], frozenset[int]]:
+        now, placed = state
+        moves = [(i, at_place(now, i, slot - 1)) for i in sorted(now[slot - 1 :], key=lambda i: (-neutral[i], i)) if i not in placed]
+        if not moves:
+            return state
+        if events is not None:
+            moves = [m for m in moves if cap_holds(m[1], events, rare)] or moves
+        base = lean_breaks(now)
+        i, then = next((m for m in moves if lean_breaks(m[1]) <= base), moves[0])
+        return then, placed | {i}
+
+    return reduce(fill, (x for x in sorted(slots) if 1 <= x <= len(order)), (list(order), frozenset()))[0]
+
+
+def floor_pass(order: list[int], must: list[bool], neutral: list[int], leans: list[str | None], places: int) -> list[int]:
+    """Must-know stories fill the first places: those there already, then the best below by neutral score.
+
+    One whose move keeps the lean quota goes first; the floor is kept in any case.
+    """
+    front = lambda head: head + [i for i in order if i not in head]
+    lean_breaks = lambda head: breaks([leans[i] for i in front(head)])
+    head = [i for i in order[:places] if must[i]]
+    below = sorted((i for i in order[places:] if must[i]), key=lambda i: (-neutral[i], i))
+    while below and len(head) < places:
+        base = lean_breaks(head)
+        pick = next((i for i in below if lean_breaks([*head, i]) <= base), below[0])
+        below.remove(pick)
+        head = [*head, pick]
+    return front(head)
+
+
+def standing_floor(order: list[int], standing: list[tuple[set[int], int, int]], neutral: list[int], leans: list[str | None], held: set[int]) -> list[int]:
+    """Each standing story, (cards that qualify, places, within), has its places near the top.
+
+    The best qualifying card below the zone changes places with the lowest card of the zone
+    that no floor holds, which goes just below the zone. Where that breaks the lean quota,
+    the first arrangement that does not: next a lower place for the card that leaves, then a
+    higher one for the card that comes, then another card. `held`: cards that stay put.
+    """
+    now, held = list(order), set(held)
+
+    def swapped(card: int, place: int, out_to: int) -> list[int]:
+        rest = [x for x in now if x != card]
+        gone = rest[place]
+        rest[place] = card
+        return rest[:out_to] + [gone] + rest[out_to:]
+
+    for fits, places, within in standing:
+        within = min(within, len(now))
+        there = [i for i in now[:within] if i in fits]
+        held |= set(there[:places])
+        below = sorted((i for i in now[within:] if i in fits), key=lambda i: (-neutral[i], i))
+        for _ in range(places - len(there)):
+            free = [k for k in reversed(range(within)) if now[k] not in held]
+            if not below or not free:
+                break
+            base = breaks([leans[i] for i in now])
+            ways = ((c, k, to) for c in below for k in free for to in range(within, now.index(c) + 1))
+            keep = (w for w in ways if breaks([leans[i] for i in swapped(*w)]) <= base)
+            card, place, to = next(keep, (below[0], free[0], within))
+            now = swapped(card, place, to)
+            below.remove(card)
+            held.add(card)
+    return now
+
+
+def run_passes(pages: DataFrame, standing: list[tuple[str, int, int]] = (), must_places: int = 3) -> DataFrame:
+    """(list_id, id, place): each list by score, then repeat cap, lean quota, exploration, must-know and standing floors.
+
+    pages: list_id, id, score, neutral (Long), event, lean, words (array), must_know and
+    topics (array). standing: (topic, places, within). A list is one reader's page: some
+    hundred cards, whatever the table's size.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         none = lambda x: None if x is None or x != x else x
-        leans, events = [none(x) for x in pdf["lean"]], [none(x) for x in pdf["event"]]
+        leans, events, neutral = [none(x) for x in pdf["lean"]], [none(x) for x in pdf["event"]], pdf["neutral"].tolist()
         words = [set(w) for w in pdf["words"]]
         order = repeat_cap(events, words)
         order = [order[k] for k in lean_quota([leans[i] for i in order])]
-        order = explore(order, pdf["neutral"].tolist(), leans)
-        order = floor_pass(order, pdf["must_know"].tolist(), 12, 3)
+        explored = explore(order, neutral, leans, events, rare_words(words))
+        order = floor_pass(explored, pdf["must_know"].tolist(), neutral, leans, must_places)
+        held = {explored[x - 1] for x in SLOTS if x <= len(explored)} | set(order[:must_places])
+        order = standing_floor(order, [({i for i, t in enumerate(pdf["topics"]) if topic in t}, places, within) for topic, places, within in standing], neutral, leans, held)
         return pd.DataFrame({"list_id": pdf["list_id"].iloc[order].to_numpy(), "id": pdf["id"].iloc[order].to_numpy(), "place": range(1, len(order) + 1)})
 
     return pages.groupBy("list_id").applyInPandas(run, "list_id long, id long, place int")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators import stories as S
+from quillmesh.operators.scale import materialize, scratch
 from quillmesh.session import ship
 from quillmesh.sources.fixtures import articles, members, read, sources, with_tables
 
@@ -46,13 +47,23 @@ UNIT = """edge AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs
 @query("near_duplicate_pairs", with_tables("articles", also=SETS) + "SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
 def near_duplicate_pairs(spark, d):
     """The flagship: LSH candidates, the time band, the exact check."""
+    ship(spark)
     return S.near_pairs(articles(spark, d)).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query("o01_units", with_tables("articles", also=SETS + ", " + UNIT) + "SELECT id, unit FROM unit")
 def o01(spark, d):
-    a = articles(spark, d)
-    return S.units(a, S.near_pairs(a))
+    ship(spark)
+    return S.units(articles(spark, d))
+
+
+@query("j04_near_classes")
+def j04(spark, d):
+    """J4 in proportion to the items: pairs of classes and each item's class; the tests expand it to `near_duplicate_pairs`."""
+    ship(spark)
+    pairs, members_ = S.near_classes(articles(spark, d))
+    near = pairs.select(F.lit("pair").alias("kind"), "a", "b", F.round("similarity", 9).alias("similarity"))
+    return near.union(members_.select(F.lit("member"), "id", "rep", F.lit(None).cast("double")))
 
 
 @query("a03_idf", with_tables("articles", also=TERMS) + "SELECT term, df, round(pow(ln((1 + (SELECT count(*) FROM articles)) / (1 + df)) + 1, 0.75), 9) AS idf FROM dfs")
@@ -70,11 +81,14 @@ def a05(spark, d):
 
 
 def linked(spark, d):
-    a = articles(spark, d)
+    """(items, units, vectors, blocked pairs), each written once."""
+    ship(spark)
+    kept = lambda df, tag: materialize(df, scratch(spark, tag))
+    a = kept(articles(spark, d), "articles")
     n = a.count()
-    u = S.units(a, S.near_pairs(a))
-    v = S.tf_idf(S.term_rows(a), n)
-    return a, u, v, S.blocked_pairs(v, a, u, n)
+    u = kept(S.units(a), "units")
+    v = kept(S.tf_idf(kept(S.term_rows(a), "terms"), n), "vectors")
+    return a, u, v, kept(S.blocked_pairs(v, a, u, n), "blocked")
 
 
 @query("j05_blocked_pairs", with_tables("articles", also=", ".join((SETS, UNIT, TERMS, BLOCKED))) + "SELECT a, b FROM blocked")
@@ -90,7 +104,7 @@ def f16(spark, d):
 
 @query("o02_average_link")
 def o02(spark, d):
-    """Greedy, so held against a single-group run in the tests."""
+    """Rounds of joins, held against one join at a time in the tests."""
     ship(spark)
     a, u, v, pairs = linked(spark, d)
     return S.average_link(a, u, S.scored_pairs(pairs, v, a))
