@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from contextvars import ContextVar
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Title and dek are words of the whole text, however much white space it starts with.
     """
-    d = read(spark, sf_dir, "documents").withColumn("w", words(F.col("text")))
-    d = d.withColumn("tagged", F.col("w") if _whole.get() else words(F.substring("text", 1, 1200)))
+    flat = lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
+    d = read(spark, sf_dir, "documents").withColumn("flat", flat(F.col("text")))
+    d = d.withColumn("w", F.split("flat", " ", 63)).withColumn("tagged", F.concat(F.lit(" "), F.col("flat") if _whole.get() else flat(F.substring("text", 1, 1200)), F.lit(" ")))
     title, dek = F.array_join(F.slice("w", 1, 12), " "), F.array_join(F.slice("w", 13, 50), " ")
-    tags = [F.when(F.arrays_overlap("tagged", F.array(*map(F.lit, ks))), F.lit(t)) for t, ks in TOPICS.items()]
+    tags = [F.when(reduce(or_, (F.col("tagged").contains(f" {k} ") for k in ks)), F.lit(t)) for t, ks in TOPICS.items()]
     at = F.lit(BASE_S) + (F.col("doc_id") * 7919) % 259_200
     return d.select(
         F.col("doc_id").alias("id"),
