@@ -64,3 +64,8 @@ def likely_band(p: Column) -> Column:
 def iso_week(ts: Column) -> Column:
     """2026W39."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+
+
+def positive_int(x: Column) -> Column:
+    """the number that a string of up to nine digits stands for, if it is above zero."""
+    return F.when(x.rlike(r"^\s*\d{1,9}\s*$") & (F.trim(x).try_cast("int") > 0), F.trim(x).try_cast("int"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track, and public second-level suffixes.
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)$"
-SECOND_LEVEL = ("co", "com", "org", "net", "gov", "ac")
+TRACKING = r"^(utm_.*|oc|ocid|cmpid|smid|fbclid|gclid|ref)$"
+SECOND_LEVEL = ("co", "com", "org", "net", "gov", "ac", "edu", "or", "ne")
 
 
 def host(url: Column) -> Column:

@@ -9,6 +9,8 @@ from quillmesh.functions import text as T
 from quillmesh.operators.items import cap_pass, first_by, ledger, skip_fill, streaks, validate
 from quillmesh.sources.fixtures import BASE_S, HARD_NEWS, NOW_S, articles, history, members, read, runs, sources, with_tables
 
+from quillmesh.operators.order import placed
+
 from .base import query
 
 #: Items with faults at fixed ids: every rule drops some.
@@ -79,9 +81,10 @@ def p07(spark, d):
     return articles(spark, d).select("id", F.array_compact(F.array(*rules)).alias("errors"))
 
 
-@query("p08_published_dek", with_tables("articles") + "SELECT id, CASE WHEN length(dek) <= 120 THEN dek WHEN regexp_extract(substr(dek, 1, 121), '^(.*) ', 1) = '' THEN substr(dek, 1, 120) ELSE regexp_extract(substr(dek, 1, 121), '^(.*) ', 1) END AS dek FROM articles")
+@query("p08_published_dek", r"""SELECT doc_id AS id, CASE WHEN length(t) <= 600 THEN t WHEN regexp_extract(substr(t, 1, 601), '^(.*) ', 1) = '' THEN substr(t, 1, 600) ELSE regexp_extract(substr(t, 1, 601), '^(.*) ', 1) END AS dek FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t FROM documents)""")
 def p08(spark, d):
-    return articles(spark, d).select("id", T.cut_at_word(F.col("dek"), 120).alias("dek"))
+    """Whole texts as deks, cut at 600 characters."""
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.cut_at_word(T.collapse(F.col("text")), 600).alias("dek"))
 
 
 @query("p09_rank_input", with_tables("articles") + "SELECT id, source_id, title, substr(dek, 1, 200) AS dek, topics, published_s FROM articles")
@@ -127,9 +130,9 @@ def p13(spark, d):
     return articles(spark, d).join(F.broadcast(sources(spark, d)), "source_id").select("id", ((F.col("syndication_group") != F.col("source_id")) | F.col("dek").rlike("(?i)apache license")).alias("copy"))
 
 
-@query("p14_opinion_url", "SELECT page_id, regexp_matches(url, '(?i)/(opinions?|op-ed|editorials?|views|en)/') AS opinion FROM pages")
+@query("p14_opinion_url", "SELECT page_id, regexp_matches(url, '(?i)/(opinion|opinions|commentary|op-ed|oped|columns?|columnists?|views|editorials?|voices)/') AS opinion FROM pages")
 def p14(spark, d):
-    return read(spark, d, "pages").select("page_id", F.col("url").rlike("(?i)/(opinions?|op-ed|editorials?|views|en)/").alias("opinion"))
+    return read(spark, d, "pages").select("page_id", F.col("url").rlike("(?i)/(opinion|opinions|commentary|op-ed|oped|columns?|columnists?|views|editorials?|voices)/").alias("opinion"))
 
 
 @query("p15_image_checks", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'data_uri' WHEN NOT regexp_matches(url, '^https://') THEN 'not_https' WHEN page_id % 5 = 0 THEN 'tiny_pixel' END AS reject, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 100 + page_id % 400 END AS width FROM pages")
@@ -154,7 +157,7 @@ def p17(spark, d):
 @query("p18_live_overrides", with_tables("articles", "sources", "members", also=STORY) + "SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id <> 7, independent DESC, cluster_id) AS INT) AS place FROM facts WHERE cluster_id NOT IN (3, 5)")
 def p18(spark, d):
     f = facts(spark, d).filter(~F.col("cluster_id").isin(3, 5))
-    return f.select("cluster_id", F.row_number().over(Window.orderBy(F.col("cluster_id") != 7, F.desc("independent"), "cluster_id")).alias("place"))
+    return placed(f.withColumn("unpinned", F.col("cluster_id") != 7), "unpinned", F.desc("independent"), "cluster_id").select("cluster_id", "place")
 
 
 @query("p19_search_history", with_tables("articles") + "SELECT id FROM articles WHERE contains(lower(title), 'tion') OR contains(lower(source_id), 'src1')")
@@ -233,10 +236,13 @@ def u05(spark, d):
     return history(spark, d).groupBy("user_id", "article_id").agg(F.max_by("kind", "event_id").alias("kind"))
 
 
-@query("u06_archive", with_tables("history") + "SELECT user_id, article_id FROM (SELECT user_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY e DESC) AS r FROM (SELECT user_id, article_id, max(event_id) AS e FROM history GROUP BY ALL)) WHERE r <= 20")
+@query("u06_archive", with_tables("history") + "SELECT user_id, article_id FROM (SELECT user_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, article_id) AS r FROM (SELECT user_id, article_id, max(ts) AS seen FROM history GROUP BY ALL) WHERE seen >= (SELECT max(ts) FROM history) - INTERVAL 30 DAY) WHERE r <= 200")
 def u06(spark, d):
-    latest = history(spark, d).groupBy("user_id", "article_id").agg(F.max("event_id").alias("e"))
-    return latest.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("e")))).filter("r <= 20").select("user_id", "article_id")
+    """Each reader's items of 30 days, the newest 200."""
+    latest = history(spark, d).groupBy("user_id", "article_id").agg(F.max("ts").alias("at"))
+    now = F.broadcast(latest.agg(F.max("at").alias("now")))  # one row
+    recent = latest.crossJoin(now).filter(F.col("at") >= F.col("now") - F.expr("INTERVAL 30 DAY"))
+    return recent.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), "article_id"))).filter("r <= 200").select("user_id", "article_id")
 
 
 @query("u07_shown_not_opened", with_tables("history") + "SELECT DISTINCT user_id, article_id FROM history h WHERE kind = 'shown' AND NOT EXISTS (SELECT 1 FROM history o WHERE o.kind = 'opened' AND o.user_id = h.user_id AND o.article_id = h.article_id)")

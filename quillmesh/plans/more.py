@@ -42,10 +42,10 @@ def s09_all(spark, d):
     return parsed_back(articles(spark, d).withColumn("feed", F.floor(F.col("id") / 1000)), "source_id", "feed")
 
 
-@query("s07_repairs", "SELECT * FROM (VALUES ('junk<rss>a & b</rss>', 1, 0, 0, 1), ('<rss>a&nbsp;b &amp; c</rss>', 0, 0, 1, 0), ('<rss/>', 0, 0, 0, 0)) t(item, leading_junk, control_chars, html_entity, bare_ampersand)")
+@query("s07_repairs", "SELECT * FROM (VALUES ('junk<rss>a & b</rss>', '<rss>a &amp; b</rss>', 1, 0, 0, 1), ('<rss>a&nbsp;b &amp; c&rsquo;s</rss>', '<rss>a' || chr(160) || 'b &amp; c’s</rss>', 0, 0, 2, 0), ('<rss/>', '<rss/>', 0, 0, 0, 0), ('<rss><![CDATA[R&D &nbsp;]]></rss>', '<rss><![CDATA[R&D &nbsp;]]></rss>', 0, 0, 0, 0), ('<rss>&unknown; &#8217; x' || chr(1) || '</rss>', '<rss>&unknown; &#8217; x</rss>', 0, 1, 0, 0)) t(item, body, leading_junk, control_chars, html_entity, bare_ampersand)")
 def s07(spark, d):
-    rows = spark.createDataFrame([("junk<rss>a & b</rss>",), ("<rss>a&nbsp;b &amp; c</rss>",), ("<rss/>",)], "item string").withColumn("body", F.col("item"))
-    return feeds.repaired(rows).drop("body").select("item", *[F.col(c).cast("int").alias(c) for c in feeds.REPAIRS])
+    rows = spark.createDataFrame([("junk<rss>a & b</rss>",), ("<rss>a&nbsp;b &amp; c&rsquo;s</rss>",), ("<rss/>",), ("<rss><![CDATA[R&D &nbsp;]]></rss>",), ("<rss>&unknown; &#8217; x\x01</rss>",)], "item string").withColumn("body", F.col("item"))
+    return feeds.repaired(rows).select("item", "body", *[F.col(c).cast("int").alias(c) for c in feeds.REPAIRS])
 
 
 @query("s18_archive", "SELECT item_id, length(text) AS n FROM benchmark WHERE length(text) >= 100")

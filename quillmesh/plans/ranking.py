@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
 from quillmesh.operators.ranking import run_passes, score_terms, select_pool
+from quillmesh.operators.order import placed
 from quillmesh.session import ship
 from quillmesh.sources.fixtures import HARD_NEWS, NOW_S, TOPICS, articles, history, members, read, sources, with_tables
 
@@ -44,10 +45,9 @@ def t01(spark, d):
 
 @query("t02_today_orders", with_tables("articles", "sources", "members", also=STORY) + "SELECT cluster_id, CAST(row_number() OVER (ORDER BY latest_s DESC, cluster_id) AS INT) AS latest, CAST(row_number() OVER (ORDER BY independent >= 3 DESC, latest_s DESC, cluster_id) AS INT) AS urgent FROM facts QUALIFY latest <= 50")
 def t02(spark, d):
-    f = facts(spark, d)
-    latest = F.row_number().over(Window.orderBy(F.desc("latest_s"), "cluster_id"))
-    urgent = F.row_number().over(Window.orderBy(F.desc(F.col("independent") >= 3), F.desc("latest_s"), "cluster_id"))
-    return f.select("cluster_id", latest.alias("latest"), urgent.alias("urgent")).filter("latest <= 50")
+    f = facts(spark, d).withColumn("few", F.col("independent") < 3)
+    latest = placed(f, F.desc("latest_s"), "cluster_id", name="latest")
+    return placed(latest, "few", F.desc("latest_s"), "cluster_id", name="urgent").filter("latest <= 50").select("cluster_id", "latest", "urgent")
 
 
 @query("t03_top_topics", with_tables("articles") + "SELECT topic, count(*) AS n FROM (SELECT unnest(topics) AS topic FROM articles) GROUP BY topic ORDER BY n DESC, topic LIMIT 3")
@@ -55,20 +55,20 @@ def t03(spark, d):
     return articles(spark, d).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(3)
 
 
-@query("t05_triage", with_tables("articles", also="s AS (SELECT id, n_chars AS points, id % 3 = 0 AS kept FROM articles), u AS (SELECT * FROM (SELECT id, 1 AS pri FROM s WHERE kept ORDER BY points, id LIMIT 40) UNION ALL SELECT * FROM (SELECT id, 2 FROM s WHERE NOT kept ORDER BY points DESC, id LIMIT 40) UNION ALL SELECT * FROM (SELECT id, 3 FROM s ORDER BY md5(id::VARCHAR) LIMIT 20))") + "SELECT id, min(pri) AS pri FROM u GROUP BY id")
+@query("t05_triage", with_tables("articles", also="s AS (SELECT id, n_chars AS points, id % 3 = 0 AS kept FROM articles), u AS (SELECT * FROM (SELECT id, 1 AS pri FROM s WHERE kept ORDER BY points, id LIMIT 100) UNION ALL SELECT * FROM (SELECT id, 2 FROM s WHERE NOT kept ORDER BY points DESC, id LIMIT 100) UNION ALL SELECT * FROM (SELECT id, 3 FROM s ORDER BY md5(id::VARCHAR) LIMIT 20))") + "SELECT id, min(pri) AS pri FROM u GROUP BY id")
 def t05(spark, d):
     s = articles(spark, d).select("id", F.col("n_chars").alias("points"), (F.col("id") % 3 == 0).alias("kept"))
-    a = s.filter("kept").orderBy("points", "id").limit(40).select("id", F.lit(1).alias("pri"))
-    b = s.filter("not kept").orderBy(F.desc("points"), "id").limit(40).select("id", F.lit(2).alias("pri"))
+    a = s.filter("kept").orderBy("points", "id").limit(100).select("id", F.lit(1).alias("pri"))
+    b = s.filter("not kept").orderBy(F.desc("points"), "id").limit(100).select("id", F.lit(2).alias("pri"))
     c = s.orderBy(F.md5(F.col("id").cast("string"))).limit(20).select("id", F.lit(3).alias("pri"))
     return a.union(b).union(c).groupBy("id").agg(F.min("pri").alias("pri"))
 
 
-@query("t06_evict", with_tables("history") + "SELECT user_id, article_id FROM (SELECT user_id, article_id, bool_or(kind = 'save') AS pinned, max(event_id) AS e FROM history GROUP BY ALL) QUALIFY pinned OR row_number() OVER (PARTITION BY user_id, pinned ORDER BY e DESC) <= 10")
+@query("t06_evict", with_tables("history") + "SELECT user_id, article_id FROM (SELECT user_id, article_id, bool_or(kind = 'save') AS pinned, max(event_id) AS e FROM history GROUP BY ALL) QUALIFY pinned OR row_number() OVER (PARTITION BY user_id, pinned ORDER BY e DESC) <= 200")
 def t06(spark, d):
     h = history(spark, d).groupBy("user_id", "article_id").agg(F.bool_or(F.col("kind") == "save").alias("pinned"), F.max("event_id").alias("e"))
     r = F.row_number().over(Window.partitionBy("user_id", "pinned").orderBy(F.desc("e")))
-    return h.withColumn("r", r).filter("pinned or r <= 10").select("user_id", "article_id")
+    return h.withColumn("r", r).filter("pinned or r <= 200").select("user_id", "article_id")
 
 
 @query("t07_feed_order", with_tables("runs", "sources") + "SELECT source_id, CAST(row_number() OVER (ORDER BY e DESC, bucket, source_id) AS INT) AS place FROM (SELECT source_id, count(*) FILTER (WHERE state = 'error') AS e FROM runs GROUP BY ALL) JOIN sources USING (source_id)")
@@ -101,7 +101,7 @@ def w02(spark, d):
 def w03(spark, d):
     a = articles(spark, d).select(F.explode("topics").alias("topic"), "id", "published_s")
     r = a.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("published_s"), "id"))).filter("r <= 10")
-    return r.select("topic", "id", F.row_number().over(Window.orderBy("r", "topic")).alias("place"))
+    return placed(r, "r", "topic").select("topic", "id", "place")
 
 
 @query("w04_first_points", with_tables("articles", "members") + "SELECT id, CAST(greatest(0, floor(10 * (1 - ((published_s - min(published_s) OVER (PARTITION BY cluster_id)) / 3600.0) / 12) + 0.5)) AS BIGINT) AS points FROM members JOIN articles ON article_id = id")
@@ -170,8 +170,7 @@ def w09(spark, d):
 
 @query("w10_tiers", with_tables("articles", "sources", "members", also=STORY + ", " + SCORED) + "SELECT cluster_id, CASE WHEN r = 1 THEN 'lead' WHEN r <= 3 THEN 'second' WHEN r <= 15 THEN 'third' ELSE 'rest' END AS tier FROM (SELECT cluster_id, row_number() OVER (ORDER BY score DESC, latest_s DESC, cluster_id) AS r FROM scored)")
 def w10(spark, d):
-    r = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("latest_s"), "cluster_id"))
-    return scored(spark, d).select("cluster_id", r.alias("r")).select("cluster_id", F.when(F.col("r") == 1, "lead").when(F.col("r") <= 3, "second").when(F.col("r") <= 15, "third").otherwise("rest").alias("tier"))
+    return placed(scored(spark, d), F.desc("score"), F.desc("latest_s"), "cluster_id", name="r").select("cluster_id", F.when(F.col("r") == 1, "lead").when(F.col("r") <= 3, "second").when(F.col("r") <= 15, "third").otherwise("rest").alias("tier"))
 
 
 @query("w14_day_groups", "SELECT event_id, CAST(date_diff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM events)) AS INT) AS days_ago FROM events")
@@ -181,11 +180,11 @@ def w14(spark, d):
     return e.crossJoin(last).select("event_id", F.datediff(F.to_date("last"), F.to_date("ts")).alias("days_ago"))
 
 
-@query("w15_shard_caps", with_tables("articles") + "SELECT topic, id FROM (SELECT * FROM (SELECT unnest(topics) AS topic, id, source_id, n_chars FROM articles) QUALIFY row_number() OVER (PARTITION BY topic, source_id ORDER BY n_chars DESC, id) <= 5) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n_chars DESC, id) <= 30")
+@query("w15_shard_caps", with_tables("articles") + "SELECT topic, id FROM (SELECT * FROM (SELECT unnest(topics) AS topic, id, source_id, n_chars FROM articles) QUALIFY row_number() OVER (PARTITION BY topic, source_id ORDER BY n_chars DESC, id) <= 25) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n_chars DESC, id) <= 300")
 def w15(spark, d):
     a = articles(spark, d).select(F.explode("topics").alias("topic"), "id", "source_id", "n_chars")
-    a = a.withColumn("s", F.row_number().over(Window.partitionBy("topic", "source_id").orderBy(F.desc("n_chars"), "id"))).filter("s <= 5")
-    return a.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n_chars"), "id"))).filter("r <= 30").select("topic", "id")
+    a = a.withColumn("s", F.row_number().over(Window.partitionBy("topic", "source_id").orderBy(F.desc("n_chars"), "id"))).filter("s <= 25")
+    return a.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n_chars"), "id"))).filter("r <= 300").select("topic", "id")
 
 
 @query("w16_first_seen", with_tables("history") + "SELECT article_id, min(ts) AS first_seen FROM history GROUP BY article_id")

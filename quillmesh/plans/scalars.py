@@ -36,11 +36,12 @@ def f03(spark, d):
     return articles(spark, d).select("id", T.title_words(F.col("title")).alias("words"))
 
 
-@query("f04_strip_outlet", with_tables("articles") + "SELECT id, title AS stripped FROM (SELECT id, regexp_replace(title, '\\s+[-|–—:]\\s+[^-|–—:]{1,40}$', '') AS title FROM articles)")
+@query("f04_strip_outlet", with_tables("articles") + r"""SELECT id, regexp_replace(title, p, '') AS bare, regexp_replace(title || ' - The Daily of ' || upper(source_id), p, '') AS stripped, regexp_replace(title || ' - the daily', p, '') AS kept
+  FROM articles, (SELECT '\s+[-|–—]\s+[A-Z0-9][\p{L}\p{N}_.&''’]*(?:\s+(?:[A-Z0-9][\p{L}\p{N}_.&''’]*|of|the|and|for|on|in)){0,5}\s*$' AS p)""")
 def f04(spark, d):
-    tailed = F.concat("title", F.lit(" - "), "source_id")
-    same = T.strip_suffix(F.col("title"))
-    return articles(spark, d).select("id", F.when(T.strip_suffix(tailed) == F.col("title"), same).otherwise(same).alias("stripped"))
+    """an outlet's name goes, a tail in small letters stays."""
+    tailed = lambda *x: T.strip_outlet(F.concat("title", *x))
+    return articles(spark, d).select("id", tailed().alias("bare"), tailed(F.lit(" - The Daily of "), F.upper("source_id")).alias("stripped"), tailed(F.lit(" - the daily")).alias("kept"))
 
 
 @query("f05_bigrams", with_tables("articles") + rf"""SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS pairs
@@ -124,7 +125,7 @@ def f22(spark, d):
     return read(spark, d, "embeddings").select("vec_id", N.quantized(F.col("embedding")).alias("bytes"))
 
 
-@query("f23_base64", with_tables("articles") + "SELECT id, base64(encode(title)) AS coded, title AS back FROM articles")
+@query("f23_base64", with_tables("articles") + "SELECT id, base64(encode(title)) AS coded, decode(from_base64(base64(encode(title)))) AS back FROM articles")
 def f23(spark, d):
     coded = F.regexp_replace(F.base64(F.encode("title", "utf-8")), r"\s", "")
     return articles(spark, d).select("id", coded.alias("coded"), F.decode(F.unbase64(coded), "utf-8").alias("back"))
@@ -138,7 +139,7 @@ def f24(spark, d):
 
 @query("f26_canonical_url", r"""SELECT page_id, regexp_replace(h, '^www\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') || CASE WHEN len(p) > 0 THEN '?' || array_to_string(p, '&') ELSE '' END AS canonical,
   CASE WHEN len(x) <= 2 THEN array_to_string(x, '.') ELSE array_to_string(x[len(x) - 1:len(x)], '.') END AS domain
-  FROM (SELECT *, string_split(regexp_replace(h, '^www\.', ''), '.') AS x FROM (SELECT *, regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS h, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(regexp_extract(p, '^([^=]*)', 1), '^(utm_[a-z]+|ref|fbclid|gclid)$'))) AS p FROM pages))""")
+  FROM (SELECT *, string_split(regexp_replace(h, '^www\.', ''), '.') AS x FROM (SELECT *, regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS h, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(regexp_extract(p, '^([^=]*)', 1), '^(utm_.*|oc|ocid|cmpid|smid|fbclid|gclid|ref)$'))) AS p FROM pages))""")
 def f26(spark, d):
     return read(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"), U.base_domain(F.col("url")).alias("domain"))
 
@@ -165,10 +166,14 @@ def f31(spark, d):
     return articles(spark, d).select("id", T.contains_words(F.split(F.lower("dek"), " "), F.slice(F.split(F.lower("title"), " "), 2, 2)).alias("found"))
 
 
-@query("f32_quoted_spans", """SELECT id, [t] AS spans FROM (SELECT id, title AS t FROM (SELECT doc_id AS id, array_to_string(list_filter(string_split(regexp_replace(substr(replace(text, '"', ''''), 1, 1200), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda w: w <> '')[1:12], ' ') AS title FROM documents) WHERE length(title) >= 8)""")
+@query("f32_quoted_spans", with_tables("articles") + r"""SELECT id, list_filter([replace(title, '"', ''''), replace(dek, '"', '''')], lambda x: length(x) >= 8) AS spans
+  FROM (SELECT id, translate(title, '‘’“”–—', '''''""--') AS title, translate(array_to_string(string_split(dek, ' ')[1:6], ' '), '‘’“”–—', '''''""--') AS dek FROM articles) WHERE title <> '' AND dek <> ''""")
 def f32(spark, d):
-    said = F.concat(F.lit("He said “"), F.replace("title", F.lit('"'), F.lit("'")), F.lit("” and left"))
-    return articles(spark, d).filter(F.length("title") >= 8).select("id", T.quoted_spans(said).alias("spans"))
+    """F32: all quoted spans of eight characters or more, typographic and plain quotes alike."""
+    inner = lambda x: F.replace(T.quote_fold(x), F.lit('"'), F.lit("'"))
+    a = articles(spark, d).select("id", inner(F.col("title")).alias("title"), inner(F.array_join(F.slice(F.split("dek", " "), 1, 6), " ")).alias("dek")).filter("title != '' and dek != ''")
+    said = F.concat(F.lit("He said “"), "title", F.lit('” and then "'), "dek", F.lit('" and “ok”, no more'))
+    return a.select("id", T.quoted_spans(said).alias("spans"))
 
 
 @query("f34_cut_at_word", with_tables("articles") + r"""SELECT id, CASE WHEN length(dek) <= 80 THEN dek WHEN regexp_extract(substr(dek, 1, 81), '^(.*) ', 1) = '' THEN substr(dek, 1, 80) ELSE regexp_extract(substr(dek, 1, 81), '^(.*) ', 1) END AS lead FROM articles""")
@@ -261,3 +266,11 @@ def f52(spark, d):
     from quillmesh.sources.fixtures import sources
 
     return sources(spark, d).select("source_id", F.concat(F.when(F.col("lean") == "left", "leans left").when(F.col("lean") == "right", "leans right").when(F.col("lean") == "center", "center").otherwise("lean unknown"), F.lit(", "), "country").alias("mark"))
+
+
+@query("f48_small_parses", """SELECT page_id, url AS plain, CASE WHEN page_id % 4 >= 2 THEN CAST(page_id AS INT) END AS width FROM pages WHERE page_id > 0""")
+def f48(spark, d):
+    """an attribute's &amp; as the character, and a positive whole number or nothing."""
+    p, i = read(spark, d, "pages").filter("page_id > 0"), F.col("page_id")
+    width = F.when(i % 4 == 0, F.concat(F.lit("-"), i.cast("string"))).when(i % 4 == 1, F.concat(i.cast("string"), F.lit("px"))).otherwise(i.cast("string"))
+    return p.select("page_id", T.unescape_amp(F.replace("url", F.lit("&"), F.lit("&amp;"))).alias("plain"), N.positive_int(width).alias("width"))

@@ -218,14 +218,14 @@ def a10(spark, d):
     return first_by(c, ["event_id"], F.desc("n"), F.desc(F.length("phrase")), F.desc("phrase")).select("event_id", F.col("phrase").alias("label"))
 
 
-@query("a11_story_countries", with_tables("articles", "sources", "members", also="o AS (SELECT DISTINCT cluster_id, source_id, bucket FROM members JOIN articles ON article_id = id JOIN sources USING (source_id)), t AS (SELECT cluster_id, count(*) AS outlets FROM o GROUP BY ALL), c AS (SELECT cluster_id, bucket, count(*) AS n FROM o GROUP BY ALL)") + "SELECT cluster_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, bucket) AS r FROM c JOIN t USING (cluster_id) WHERE 4 * n >= outlets) WHERE r <= 2")
+@query("a11_story_countries", with_tables("articles", "sources", "members", also="o AS (SELECT DISTINCT cluster_id, source_id, bucket FROM members JOIN articles ON article_id = id JOIN sources USING (source_id)), t AS (SELECT cluster_id, count(*) AS outlets FROM o GROUP BY ALL), c AS (SELECT cluster_id, bucket, count(*) AS n FROM o GROUP BY ALL)") + "SELECT cluster_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, bucket) AS r FROM c JOIN t USING (cluster_id) WHERE 2 * n >= outlets) WHERE r <= 2")
 def a11(spark, d):
     from pyspark.sql import Window
 
     o = members(spark, d).join(articles(spark, d), F.col("article_id") == F.col("id")).join(F.broadcast(sources(spark, d)), "source_id").select("cluster_id", "source_id", "bucket").distinct()
     t, c = o.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("outlets")), o.groupBy("cluster_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
     r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("n"), "bucket"))
-    return c.join(t, "cluster_id").filter("4 * n >= outlets").withColumn("r", r).filter("r <= 2").select("cluster_id", "bucket")
+    return c.join(t, "cluster_id").filter("2 * n >= outlets").withColumn("r", r).filter("r <= 2").select("cluster_id", "bucket")
 
 
 @query("a36_headline_words", with_tables("articles", "members", also=f"w AS (SELECT DISTINCT cluster_id, id, unnest({content_sql('title', '')}) AS word FROM members JOIN articles ON article_id = id), n AS (SELECT cluster_id, count(*) AS n FROM members GROUP BY ALL)") + "SELECT cluster_id, word FROM w JOIN n USING (cluster_id) GROUP BY cluster_id, word, n HAVING count(*) >= n / 2")

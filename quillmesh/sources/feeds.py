@@ -5,18 +5,42 @@ All built-in expressions: a feed is one string, an item one match of its element
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPAIRS = {"leading_junk": r"^[^<]+", "control_chars": r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "html_entity": r"&(nbsp|middot|copy|rsquo|lsquo|ldquo|rdquo|ndash|mdash|hellip);", "bare_ampersand": r"&(?![A-Za-z]{2,8};|#[0-9]{1,6};|#x[0-9A-Fa-f]{1,6};)"}
+JUNK, CONTROL, BARE = r"^[^<]+", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", r"&(?![A-Za-z][A-Za-z0-9]{0,31};|#[0-9]{1,7};|#x[0-9A-Fa-f]{1,6};)"
+REPAIRS = ("leading_junk", "control_chars", "html_entity", "bare_ampersand")
+#: Names that markup knows and XML does not.
+NAMED = {n: chr(c) for n, c in name2codepoint.items() if n not in ("lt", "gt", "amp", "quot", "apos")}
+#: Where defects do not count: a parser takes these as they are.
+VERBATIM = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
 
 
 def repaired(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """Feeds with their text repaired and a count of each kind of repair."""
-    out = feeds
-    for name, pattern in REPAIRS.items():
-        out = out.withColumn(name, F.regexp_count(F.col(body), F.lit(pattern)).cast("long")).withColumn(body, F.regexp_replace(body, pattern, "&amp;" if name == "bare_ampersand" else ""))
-    return out
+    """Feeds with their text repaired and a count of each kind of repair.
+
+    A feed that a strict parser takes stays as it is, whatever its CDATA sections hold.
+    In others, junk before the first element and control characters go, named characters
+    of HTML become the characters, and bare ampersands are escaped.
+    """
+    chars = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    name = lambda piece: F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+    known = lambda piece: chars[name(piece)].isNotNull()
+    strict = F.regexp_replace(F.col(body), VERBATIM, "")
+    flawed = strict.rlike(JUNK) | strict.rlike(CONTROL) | strict.rlike(BARE) | F.exists(F.slice(F.split(strict, "&"), 2, 1_000_000_000), known)
+    count = lambda pattern: F.when(F.col("flawed_"), F.regexp_count(F.col(body), F.lit(pattern))).otherwise(0).cast("long")
+    change = lambda out, to: out.withColumn(body, F.when(F.col("flawed_"), to).otherwise(F.col(body)))
+    out = feeds.withColumn("flawed_", flawed)
+    out = change(out.withColumn("leading_junk", count(JUNK)), F.regexp_replace(body, JUNK, ""))
+    out = change(out.withColumn("control_chars", count(CONTROL)), F.regexp_replace(body, CONTROL, ""))
+    out = out.withColumn("pieces_", F.split(body, "&"))
+    later = F.slice("pieces_", 2, 1_000_000_000)
+    out = out.withColumn("html_entity", F.when(F.col("flawed_"), F.size(F.filter(later, known))).otherwise(0).cast("long"))
+    text = F.concat(F.col("pieces_")[0], F.array_join(F.transform(later, lambda p: F.when(known(p), F.concat(chars[name(p)], F.substring(p, F.length(name(p)) + 2, F.length(p)))).otherwise(F.concat(F.lit("&"), p))), ""))
+    out = change(out, text)
+    return change(out.withColumn("bare_ampersand", count(BARE)), F.regexp_replace(body, BARE, "&amp;")).drop("flawed_", "pieces_")
 
 
 def kind(body: Column) -> Column:

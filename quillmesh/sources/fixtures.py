@@ -8,8 +8,6 @@ they need. All offsets are deterministic functions of the keys.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from contextvars import ContextVar
 from functools import reduce
 from operator import or_
 
@@ -22,40 +20,20 @@ NOW_S = BASE_S + 259_200
 #: Tag keywords, our own small table: words of the texts that stand for a topic.
 TOPICS = {"politics": ["from", "pour"], "economy": ["with", "sur"], "science": ["nicht", "dans"], "conflict": ["avec", "los"], "culture": ["that", "una"]}
 HARD_NEWS = ["conflict", "economy", "politics", "science", "world"]
-#: Whether topic tags are read from whole texts or, as the SQL of `articles` has it, from their first 1200 characters.
-_whole = ContextVar("whole", default=False)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text):
-    """Words between runs of white space."""
-    return F.filter(F.split(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), " "), lambda w: w != "")
-
-
-def whole_text(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The plan over articles whose topic tags are read from the whole texts."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return plan(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    return run
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source_id, url, title, dek, published_s, published_at, lang, n_chars, topics.
 
-    Title and dek are words of the whole text, however much white space it starts with.
+    Title and dek are the first words of the text, however much white space it starts with; topics are read from all of it.
     """
     flat = lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
     d = read(spark, sf_dir, "documents").withColumn("flat", flat(F.col("text")))
-    d = d.withColumn("w", F.split("flat", " ", 63)).withColumn("tagged", F.concat(F.lit(" "), F.col("flat") if _whole.get() else flat(F.substring("text", 1, 1200)), F.lit(" ")))
+    d = d.withColumn("w", F.split("flat", " ", 63)).withColumn("tagged", F.concat(F.lit(" "), "flat", F.lit(" ")))
     title, dek = F.array_join(F.slice("w", 1, 12), " "), F.array_join(F.slice("w", 13, 50), " ")
     tags = [F.when(reduce(or_, (F.col("tagged").contains(f" {k} ") for k in ks)), F.lit(t)) for t, ks in TOPICS.items()]
     at = F.lit(BASE_S) + (F.col("doc_id") * 7919) % 259_200
@@ -112,7 +90,7 @@ CTES = {
         array_to_string(w[1:12], ' ') AS title, array_to_string(w[13:62], ' ') AS dek, {BASE_S} + (doc_id * 7919) % 259200 AS published_s,
         make_timestamp(({BASE_S} + (doc_id * 7919) % 259200) * 1000000) AS published_at, lang, n_chars,
         list_sort(list_filter([{_tags}], lambda t: t IS NOT NULL)) AS topics
-        FROM (SELECT *, {_words("substr(text, 1, 1200)")} AS w FROM documents))""",
+        FROM (SELECT *, {_words("text")} AS w FROM documents))""",
     "sources": """sources AS (SELECT source_id, k, n_name AS country, r_name AS bucket,
         CASE WHEN k % 7 < 2 THEN 'left' WHEN k % 7 < 4 THEN 'center' WHEN k % 7 < 6 THEN 'right' END AS lean,
         CASE WHEN k % 5 = 0 THEN 'wire' || (k // 10) ELSE source_id END AS syndication_group, k % 4 = 0 AS paywall
@@ -125,9 +103,6 @@ CTES = {
         CASE WHEN event_type <> 'error' AND value >= 20 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS items FROM events)""",
 }
 
-#: `articles` in SQL with topic tags from whole texts.
-WHOLE_ARTICLES = CTES["articles"].replace("substr(text, 1, 1200)", "text")
-
 
 def with_tables(*names: str, also: str = "") -> str:
     """A WITH clause of the named derived tables, and of `also`."""

@@ -1,5 +1,6 @@
 """Operators that SQL cannot say: against plain versions and invariants."""
 
+import datetime
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import ranking as R
 from quillmesh.operators import stories as S
 from quillmesh.operators.graph import components
+from quillmesh.operators.order import as_of, matched, placed
 from quillmesh.operators.scale import skew_join
 from quillmesh.streaming.state import hold_live
 
@@ -255,3 +257,34 @@ def test_floors_are_met():
         assert sorted(out) == list(range(n)) and out[:3] == order[:3] and sum(i in fits for i in out[:8]) >= min(2, len(fits))
         if sum(i in fits for i in order[:8]) >= 2:
             assert out == order
+
+
+def test_places_of_a_total_order(spark):
+    r = random.Random(12)
+    rows = [(i, r.randrange(40)) for i in range(3000)]
+    got = placed(spark.createDataFrame(rows, "id long, n long").repartition(8), F.desc("n"), "id").collect()
+    assert [(x.id, x.n) for x in sorted(got, key=lambda x: x.place)] == sorted(rows, key=lambda x: (-x[1], x[0])) and {x.place for x in got} == set(range(1, 3001))
+    assert placed(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_as_of_join(spark):
+    r = random.Random(13)
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    left = [(i, r.choice([1, 2, 3, None]), at(r.randrange(100_000)), "kept") for i in range(300)]
+    right = [(r.choice([1, 1, 2, 4, None]), at(r.randrange(100_000)), float(r.randrange(50))) for _ in range(80)]
+    got = as_of(spark.createDataFrame(left, "id long, k long, at timestamp, held_ string"), spark.createDataFrame(right, "k long, at timestamp, v double"), "k", "at", "v").collect()
+    for x in got:
+        before = [(t, v) for k, t, v in right if k == x.k and t <= x.at] if x.k is not None else None
+        assert before is None or x.v == max(before, default=(None, None))[1], x
+    assert len(got) == 300 and {x.held_ for x in got} == {"kept"}
+
+
+def test_matching_is_the_greedy_one(spark):
+    r = random.Random(14)
+    pairs = [(a, b, r.randrange(6)) for a in range(15) for b in range(12) if r.random() < 0.6]
+    want, ends = [], set()
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if ("a", a) not in ends and ("b", b) not in ends:
+            want.append((a, b))
+            ends |= {("a", a), ("b", b)}
+    assert sorted(map(tuple, matched(spark.createDataFrame(pairs, "a long, b long, n long")).collect())) == sorted(want)
