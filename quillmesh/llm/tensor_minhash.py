@@ -34,9 +34,9 @@ ROWS = 3
 #: A pair at the threshold is missed with this probability at most.
 MISS = 2e-4
 #: Hubs that a bucket takes in a later round, on average.
-HUBS = 512
+HUBS = 2048
 #: Other members that meet the hubs in one task, about.
-BLOCK = 512
+BLOCK = 1024
 
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
