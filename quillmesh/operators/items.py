@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from quillmesh.session import ship
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -66,12 +72,23 @@ def streaks(runs: DataFrame) -> DataFrame:
 def skip_fill(items: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
     """In order, what still fits a group's budget; what does not fit is skipped, not a stop.
 
-    The state is one number a group, so the fold runs over the group's ordered array of
-    (order, size) and stays in the JVM; groups are independent.
+    Groups are dealt by their key and sorted; the state is one number, carried from row to
+    row and from batch to batch, so no group is held. A null size takes nothing and is kept.
     """
-    row = F.struct(*order, F.col(size).cast("long").alias("size_"), F.struct(*items.columns).alias("item_"))
-    packed = items.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows_"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("fits"))
-    step = lambda s, r: F.struct(F.when(s.used + r.size_ <= budget, s.used + r.size_).otherwise(s.used).alias("used"), F.concat(s.fits, F.array(s.used + r.size_ <= budget)).alias("fits"))
-    fits = F.aggregate("rows_", start, step).fits
-    return packed.select(F.explode(F.arrays_zip("rows_", fits.alias("fits"))).alias("z")).select("z.rows_.item_.*", F.col("z.fits").alias("kept"))
+    ship(items.sparkSession)
+    at_group, at_size = items.columns.index(group), items.columns.index(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = (), 0
+        for batch in batches:
+            kept = []
+            for g, n in zip(batch.column(at_group).to_pylist(), batch.column(at_size).to_pylist(), strict=True):
+                if now != (g,):
+                    now, used = (g,), 0
+                fits = used + (n or 0) <= budget
+                used += (n or 0) if fits else 0
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], names=[*batch.schema.names, "kept"])
+
+    schema = StructType([*items.schema.fields, StructField("kept", BooleanType())])
+    return items.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)

@@ -22,6 +22,24 @@ def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFram
     return rows.join(F.broadcast(before), part).withColumn(name, (F.col("before_") + own).cast("int")).drop(part, "before_")
 
 
+def placed_in(df: DataFrame, keys: list[str], *order: str | Column, name: str = "place") -> DataFrame:
+    """`df` with each row's place (long, from 1) within its group of `keys`, a group being dealt over many tasks.
+
+    Rows are range-partitioned by keys and order, so a group that began in an earlier
+    partition is the first of its own: one offset a partition at most, which is broadcast.
+    """
+    part = free_name("part_", df)
+    rows = materialize(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), scratch(df.sparkSession, "ranges"))
+    n = rows.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("n_"))
+    earlier = (F.sum("n_").over(Window.partitionBy(*keys).orderBy(part)) - F.col("n_")).alias("before_")
+    offsets = n.select(F.col(part).alias("of_"), *[F.col(k).alias(f"key{i}_") for i, k in enumerate(keys)], earlier).filter("before_ > 0")
+    same = F.col(part) == F.col("of_")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"key{i}_"))
+    own = F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order))
+    return rows.withColumn(name, own.cast("long")).join(F.broadcast(offsets), same, "left").withColumn(name, F.col(name) + F.coalesce("before_", F.lit(0))).select(*df.columns, name)
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, span_s: int = 3600) -> DataFrame:
     """`left` with the value of the latest row of `right` of its key at or before its time; null where there is none.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators.history import breadth, entropy, evidence, weekly_counts
+from quillmesh.operators.order import placed
 from quillmesh.sources.fixtures import articles, history, read, runs, sources, with_tables
 
 from .base import query
@@ -128,4 +129,5 @@ def x25(spark, d):
 
 @query("x16_source_catalog", with_tables("sources") + "SELECT source_id, CASE WHEN lean IS NULL THEN 'unrated' ELSE 'rated' END AS basis, CAST(row_number() OVER (ORDER BY bucket, country, k) AS INT) AS place FROM sources")
 def x16(spark, d):
-    return sources(spark, d).select("source_id", F.when(F.col("lean").isNull(), "unrated").otherwise("rated").alias("basis"), F.row_number().over(Window.orderBy("bucket", "country", "k")).alias("place"))
+    rows = placed(sources(spark, d), "bucket", "country", "k")
+    return rows.select("source_id", F.when(F.col("lean").isNull(), "unrated").otherwise("rated").alias("basis"), "place")

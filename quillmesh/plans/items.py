@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.items import cap_pass, first_by, ledger, skip_fill, streaks, validate
-from quillmesh.sources.fixtures import BASE_S, HARD_NEWS, NOW_S, articles, history, members, read, runs, sources, with_tables
+from quillmesh.sources.fixtures import BASE_S, HARD_NEWS, NOW_S, TOPICS, articles, history, members, read, runs, sources, with_tables
 
 from quillmesh.operators.order import placed
 
@@ -100,7 +100,7 @@ def facts(spark, d):
     """Stories with topics, independent outlets, leans, sources, the newest time and size."""
     m = members(spark, d).join(articles(spark, d), F.col("article_id") == F.col("id")).join(F.broadcast(sources(spark, d)), "source_id")
     return m.groupBy("cluster_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"),
+        F.array_sort(F.array_compact(F.array(*[F.when(F.bool_or(F.array_contains("topics", t)), t) for t in TOPICS]))).alias("topics"),
         F.countDistinct("syndication_group").alias("independent"),
         F.array_sort(F.collect_set("lean")).alias("leans"),
         F.array_sort(F.collect_set("source_id")).alias("source_ids"),

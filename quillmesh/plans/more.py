@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import numeric as N
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
+from quillmesh.operators.order import placed
 from quillmesh.sources import feeds
 from quillmesh.sources.fixtures import BASE_S, HARD_NEWS, NOW_S, articles, history, members, read, runs, sources, with_tables
 
@@ -60,7 +61,9 @@ def w06(spark, d):
 
 @query("t04_near_miss_top", with_tables("articles") + "SELECT a.id AS a, b.id AS b FROM articles a JOIN articles b ON a.title = b.title AND a.id < b.id ORDER BY a.id, b.id LIMIT 40")
 def t04(spark, d):
-    a = articles(spark, d).select(F.col("id").alias("a"), "title")
+    """Of one title only its 41 least ids can be in the first 40 pairs."""
+    r = F.row_number().over(Window.partitionBy("title").orderBy("id"))
+    a = articles(spark, d).select(F.col("id").alias("a"), "title", r.alias("r")).filter("r <= 41").drop("r")
     return a.join(a.select(F.col("a").alias("b"), "title"), "title").filter("a < b").orderBy("a", "b").limit(40).select("a", "b")
 
 
@@ -193,7 +196,8 @@ def c06(spark, d):
 
 @query("x04_query_plan", with_tables("sources") + "SELECT source_id, CASE WHEN row_number() OVER (ORDER BY k % 4, k) <= 12 THEN 'run' ELSE 'over_cap' END AS plan FROM sources")
 def x04(spark, d):
-    return sources(spark, d).select("source_id", F.when(F.row_number().over(Window.orderBy(F.col("k") % 4, "k")) <= 12, "run").otherwise("over_cap").alias("plan"))
+    rows = placed(sources(spark, d).withColumn("tier", F.col("k") % 4), "tier", "k")
+    return rows.select("source_id", F.when(F.col("place") <= 12, "run").otherwise("over_cap").alias("plan"))
 
 
 @query("x06_search_clean", with_tables("articles") + r"SELECT id, regexp_replace(title, '\s+[-|–—:]\s+[^-|–—:]{1,40}$', '') AS title, '' AS dek FROM articles")
@@ -254,7 +258,7 @@ def a37(spark, d):
 
 @query("s13_state_round_trip", with_tables("runs") + "SELECT source_id, arg_max(state, run) AS state, max(run) AS run FROM runs GROUP BY source_id")
 def s13(spark, d):
-    """State written to the shared folder and read back; a missing table is a fresh start."""
+    """State written to the shared folder and read back."""
     from quillmesh.operators.scale import materialize, scratch
 
     s = runs(spark, d).groupBy("source_id").agg(F.max_by("state", "run").alias("state"), F.max("run").alias("run"))

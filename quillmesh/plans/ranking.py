@@ -76,7 +76,7 @@ def t07(spark, d):
     from quillmesh.sources.fixtures import runs
 
     e = runs(spark, d).groupBy("source_id").agg(F.count_if(F.col("state") == "error").alias("e")).join(F.broadcast(sources(spark, d)), "source_id")
-    return e.select("source_id", F.row_number().over(Window.orderBy(F.desc("e"), "bucket", "source_id")).alias("place"))
+    return placed(e, F.desc("e"), "bucket", "source_id").select("source_id", "place")
 
 
 @query("t10_seeded_sample", with_tables("articles") + "SELECT id FROM articles ORDER BY md5('seed7' || id), id LIMIT 25")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
+from quillmesh.operators.order import placed_in
 from quillmesh.operators.quotes import contained, sources_of
+from quillmesh.operators.scale import materialize, scratch, skew_join
 from quillmesh.sources.fixtures import BASE_S, NOW_S, articles, members, read, runs, sources, with_tables
 
 from .base import query
@@ -67,10 +69,19 @@ def j07(spark, d):
 
 @query("j08_priority_match", with_tables("articles", also="c AS (SELECT a.id, b.id AS other, 1 AS pri FROM articles a JOIN articles b ON b.title = a.title AND b.source_id = a.source_id AND b.id <> a.id UNION ALL SELECT a.id, b.id, 2 FROM articles a JOIN articles b ON b.title = a.title AND b.id <> a.id)") + "SELECT id, other, pri FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY pri, other) = 1")
 def j08(spark, d):
-    a = articles(spark, d).select("id", "title", "source_id")
-    b = a.select(F.col("id").alias("other"), "title", F.col("source_id").alias("s"))
-    met = a.join(b, "title").filter("id <> other").select("id", "other", F.when(F.col("s") == F.col("source_id"), 1).otherwise(2).alias("pri"))
-    return first_by(met, ["id"], F.col("pri"), F.col("other"))
+    """A group's two least ids answer for all its rows, so equal titles are never paired with each other."""
+    a = materialize(articles(spark, d).select("id", "title", "source_id"), scratch(spark, "titles"))
+
+    def least(keys):
+        r = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        two = a.withColumn("r", r).filter("r <= 2").groupBy(*keys).agg(F.min("id").alias("low"), F.max("id").alias("next")).filter("low <> next")
+        return two.select(F.to_json(F.struct(*keys)).alias("group"), "low", "next")
+
+    n, out = a.count(), []
+    for pri, keys in ((1, ["title", "source_id"]), (2, ["title"])):
+        met = skew_join(a.select("id", F.to_json(F.struct(*keys)).alias("group")), least(keys), "group", F.col("id"), n)
+        out.append(met.select("id", F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("other"), F.lit(pri).alias("pri")))
+    return first_by(out[0].union(out[1]), ["id"], F.col("pri"), F.col("other"))
 
 
 @query("j09_outlet_resolve", with_tables("sources") + r"""SELECT page_id, coalesce(a.source_id, b.source_id) AS source_id FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h FROM pages) p LEFT JOIN sources a ON p.h = a.source_id || '.example.com' LEFT JOIN sources b ON p.page_id % 20 = b.k""")
@@ -149,9 +160,10 @@ def a12(spark, d):
 
 @query("a15_rule_stats", with_tables("articles") + f"SELECT lang, count(*) AS kept, sum(n_chars)::BIGINT AS bytes, count(*) FILTER (WHERE {NOW_S} - published_s > 129600) AS over_36h, list_sort(list({NOW_S} - published_s))[count(*) // 2 + 1] AS upper_median FROM articles GROUP BY lang")
 def a15(spark, d):
-    age = F.lit(NOW_S) - F.col("published_s")
-    g = articles(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_chars").alias("bytes"), F.count_if(age > 36 * 3600).alias("over_36h"), F.array_sort(F.collect_list(age)).alias("ages"))
-    return g.select("lang", "kept", "bytes", "over_36h", F.element_at("ages", (F.floor(F.col("kept") / 2) + 1).cast("int")).alias("upper_median"))
+    """The upper median is the age at its place; no group is gathered."""
+    a = placed_in(articles(spark, d).select("id", "lang", "n_chars", (F.lit(NOW_S) - F.col("published_s")).alias("age")), ["lang"], "age", "id")
+    g = a.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("kept"), F.sum("n_chars").alias("bytes"), F.count_if(F.col("age") > 36 * 3600).alias("over_36h"))
+    return g.join(a, F.col("of").eqNullSafe(F.col("lang")) & (F.col("place") == F.floor(F.col("kept") / 2) + 1)).select("lang", "kept", "bytes", "over_36h", F.col("age").alias("upper_median"))
 
 
 @query("a16_bucket_lean", with_tables("articles", "sources") + "SELECT bucket, count(*) FILTER (WHERE lean = 'left') AS l, count(*) FILTER (WHERE lean = 'center') AS c, count(*) FILTER (WHERE lean = 'right') AS r FROM articles JOIN sources USING (source_id) GROUP BY bucket")
@@ -190,11 +202,12 @@ def a21(spark, d):
 
 @query("a22_percentiles", "SELECT event_type, v[CAST(floor(0.5 * n) AS INT) + 1] AS p50, v[CAST(floor(0.9 * n) AS INT) + 1] AS p90 FROM (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type)")
 def a22(spark, d):
-    """The element at int(q * n), by rank; no group is gathered into one array."""
-    w = Window.partitionBy("event_type")
-    e = read(spark, d, "events").withColumn("r", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda q: F.max(F.when(F.col("r") == F.floor(F.lit(q) * F.col("n")) + 1, F.col("value")))
-    return e.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """The element at int(q * n), by its place; no group is gathered into one task."""
+    e = placed_in(read(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", "event_id")
+    n = e.groupBy(F.col("event_type").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    at = n.select("of", F.floor(F.lit(0.5) * F.col("n")).alias("a"), F.floor(F.lit(0.9) * F.col("n")).alias("b")).withColumn("wanted", F.explode(F.array_distinct(F.array("a", "b"))))
+    met = at.join(e, F.col("of").eqNullSafe(F.col("event_type")) & (F.col("place") == F.col("wanted") + 1))
+    return met.groupBy("event_type").agg(F.max(F.when(F.col("wanted") == F.col("a"), F.col("value"))).alias("p50"), F.max(F.when(F.col("wanted") == F.col("b"), F.col("value"))).alias("p90"))
 
 
 @query("a23_scorecard", "SELECT feature, CASE WHEN n < 10 THEN 'too_few' WHEN share >= 0.8 THEN 'met' WHEN share >= 0.6 THEN 'near' ELSE 'missed' END AS status FROM (SELECT lang AS feature, count(*) AS n, avg(quality) AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang)")
@@ -297,7 +310,8 @@ def x01(spark, d):
 def x02(spark, d):
     q = read(spark, d, "events").select("user_id", F.col("event_type").alias("tag"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("r")).filter("r <= 5")
     one = first_by(q, ["tag"], F.col("r"), F.col("user_id"))
-    return one.select("tag", F.row_number().over(Window.orderBy("r", "user_id")).alias("place")).filter("place <= 60")
+    first = one.orderBy("r", "user_id").limit(60)
+    return first.select("tag", F.row_number().over(Window.orderBy("r", "user_id")).alias("place"))
 
 
 def combined(r):

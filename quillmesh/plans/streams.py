@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmesh.operators.scale import shared_dir
 from quillmesh.session import ship
@@ -14,17 +15,25 @@ from quillmesh.streaming import state as K
 from .base import query
 
 
-def finished(stream, spark, mode: str):
-    """The result of a stream that reads what is there, written to the shared folder (append) or a table in memory."""
+def finished(stream, spark, mode: str, keys: tuple[str, ...] = ()):
+    """The result of a stream that reads what is there, written to the shared folder.
+
+    In update mode a batch is written under its number, so that a repeated batch replaces
+    itself, and the last batch that has a row of `keys` tells its values.
+    """
     name = f"k_{uuid.uuid4().hex[:10]}"
     at = f"{shared_dir(spark)}/streams/{name}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out/batch=-1")  # a stream without rows has no batch
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/out")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
 def events_stream(spark, d):
@@ -46,7 +55,7 @@ def k01(spark, d):
 
 @query("k03_first_seen_stream", with_tables("history") + "SELECT article_id, min(ts) AS first_seen FROM history GROUP BY article_id")
 def k03(spark, d):
-    return finished(K.first_seen(events_stream(spark, d).select((F.col("event_id") * 13 % 1000).alias("article_id"), "ts")), spark, "complete")
+    return finished(K.first_seen(events_stream(spark, d).select((F.col("event_id") * 13 % 1000).alias("article_id"), "ts")), spark, "update", ("article_id",))
 
 
 @query("k08_recorded_once_stream", with_tables("history") + "SELECT DISTINCT user_id, article_id, kind FROM history")

@@ -288,3 +288,36 @@ def test_matching_is_the_greedy_one(spark):
             want.append((a, b))
             ends |= {("a", a), ("b", b)}
     assert sorted(map(tuple, matched(spark.createDataFrame(pairs, "a long, b long, n long")).collect())) == sorted(want)
+
+
+def test_places_within_groups(spark):
+    """One group holds most rows, so it spans partitions; null keys and ties count."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators.order import placed_in
+
+    df = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 10 < 7, "big").when(F.col("id") % 10 < 9, F.concat(F.lit("g"), F.col("id") % 50)).alias("k"), (F.col("id") % 13).alias("x"))
+    got = placed_in(df, ["k"], "x", "id").collect()
+    want, groups = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.x, r.id)):
+        groups[r.k] = groups.get(r.k, 0) + 1
+        want[r.id] = groups[r.k]
+    assert {r.id: r.place for r in got} == want
+    assert placed_in(df.limit(0), ["k"], "x").count() == 0
+
+
+def test_skip_fill_carries_its_state(spark):
+    """Against a plain loop: null sizes, null groups, ties, groups longer than a batch."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators.items import skip_fill
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 97).alias("size"))
+    got = {r.id: r.kept for r in skip_fill(df, "g", ["id"], "size", 9000).collect()}
+    used, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        n = r.size or 0
+        want[r.id] = used.get(r.g, 0) + n <= 9000
+        used[r.g] = used.get(r.g, 0) + (n if want[r.id] else 0)
+    assert got == want
+    assert skip_fill(df.limit(0), "g", ["id"], "size", 1).count() == 0
