@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import contracts, history, items, joins, more, ranking, relations, scalars, sinks, stories, streams  # noqa: F401
+from . import contracts, history, items, joins, more, profile, ranking, relations, scalars, sinks, stories, streams  # noqa: F401
 from quillmesh.sources.fixtures import CTES
 
 from .base import ORACLE_SQL, QUERIES, query
 
 # Names of round 1, when topic tags were read from the starts of texts and these from whole texts, as all are now.
 for _name, _sql in list(ORACLE_SQL.items()):
-    if QUERIES[_name].__module__ not in (contracts.__name__, sinks.__name__) and CTES["articles"] in _sql and "topics" in _sql.replace(CTES["articles"], ""):
+    if QUERIES[_name].__module__ not in (contracts.__name__, profile.__name__, sinks.__name__) and CTES["articles"] in _sql and "topics" in _sql.replace(CTES["articles"], ""):
         query(f"{_name}_whole_text", _sql)(QUERIES[_name])
 
 FLAGSHIP = "near_duplicate_pairs"
