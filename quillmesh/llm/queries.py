@@ -13,9 +13,12 @@ from .decontaminate import contained_items
 from .exact_dedup import exact_dedup
 from .html_text import page_texts
 from .minimax_shards import minimax_shards
+from .periodic_runs import longest_run, periodic_runs, with_planted_run
 from .sstable import token_shards
+from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .tensor_minhash import minhash_dedup
+from .vector_codes import codebooks_sha256, hex_codes, vector_codes, with_label_errors
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op2_html_text, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op9_suffix_dedup, op10_decontaminate)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    return longest_run(periodic_runs(table(spark, sf_dir, "documents"), change=with_planted_run, with_text=False))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    coded, codebooks = vector_codes(table(spark, sf_dir, "embeddings"))
+    found = with_label_errors(coded)
+    return found.select("vec_id", hex_codes(F.col("code")).alias("code"), "error", "label_error", F.lit(codebooks_sha256(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    found = substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sstable, op2_html_text, op3_minhash, op4_quality, op5_bpe_tokens, op6_exact_dedup, op7_toxicity, op8_minimax_shards, op9_suffix_dedup, op10_decontaminate, op11_periodic_runs, op12_vector_codes, op13_substring_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
