@@ -26,21 +26,29 @@ def _when(bad: Column, faults: Column) -> Column:
     return F.when(bad, faults).otherwise(F.array().cast(NONE))
 
 
-def schema_faults(value: Column, schema: dict, root: dict | None = None, path: Column | str = "$", within: tuple[str, ...] = ()) -> Column:
+def schema_faults(value: Column, schema: dict | bool, root: dict | None = None, path: Column | str = "$", within: tuple[str, ...] = ()) -> Column:
     """An array of "path: fault" for a VARIANT under a schema; empty where it fits.
 
-    A value of the wrong type gives that fault alone. A keyword holds for the types it
+    A value of the wrong type gives that fault alone, but for those of its `$ref`, whose
+    schema holds together with the keywords beside it. A schema may be true or false:
+    everything fits, or nothing. A keyword holds for the types it
     is about. A keyword that is not of the subset raises, as does a schema that refers to
     itself, so no schema is checked in part. A null column (no JSON) gives "not JSON".
     """
-    root, at = root or schema, F.lit(path) if isinstance(path, str) else path
+    at = F.lit(path) if isinstance(path, str) else path
+    if isinstance(schema, bool):
+        fits = F.array().cast(NONE)
+        return F.when(value.isNull(), F.array(F.concat(at, F.lit(": not JSON")))).otherwise(fits if schema else F.array(F.concat(at, F.lit(": not allowed"))))
+    root = schema if root is None else root
     if unknown := set(schema) - ANNOTATIONS - ASSERTIONS:
         raise ValueError(f"keywords outside the subset: {sorted(unknown)}")
     if "$ref" in schema:
         ref = schema["$ref"]
         if ref in within:
             raise ValueError(f"{ref} refers to itself")
-        return schema_faults(value, reduce(lambda s, k: s[k], ref.removeprefix("#/").split("/"), root), root, at, (*within, ref))
+        meant = schema_faults(value, reduce(lambda s, k: s[k], ref.removeprefix("#/").split("/"), root), root, at, (*within, ref))
+        beside = {k: v for k, v in schema.items() if k in ASSERTIONS and k != "$ref"}
+        return F.array_distinct(F.concat(meant, schema_faults(value, beside, root, at, within))) if beside else meant
     say = lambda text: F.array(F.concat(at, F.lit(f": {text}")))
     found = []
     if "const" in schema:

@@ -7,7 +7,6 @@ so passes run per list by applyInPandas, lists over the cluster.
 from __future__ import annotations
 
 from collections import Counter, deque
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.numeric import micro
 
+from .placement import QUOTA_SHARE, QUOTA_WINDOW, Page, explored, moved, with_floor, with_standing
+
 CAP, EXTRA = 1.0, 0.25
-QUOTA_WINDOW, QUOTA_SHARE = 10, 0.6
 REPEAT_WINDOW, REPEAT_MAX = 12, 2
 SLOTS = (4, 14, 24)
 
@@ -43,13 +43,8 @@ def score_terms(stories: DataFrame, now_s: int, half_life: float = 12.0) -> Data
 
 
 def breaks(leans: list[str | None], window: int = QUOTA_WINDOW, share: float = QUOTA_SHARE) -> int:
-    """Windows that hold more of one lean than its share; a list shorter than a window is one."""
-    cap, n = int(window * share + 1e-9), len(leans)
-    over = np.zeros(max(0, n - min(window, n)) + 1, bool)
-    for lean in {x for x in leans if x}:
-        total = np.concatenate([[0], np.cumsum([x == lean for x in leans])])
-        over |= total[min(window, n) :] - total[: len(over)] > cap
-    return int(over.sum())
+    """Windows that hold more of one lean than its share."""
+    return int(Page(leans, [0] * len(leans)).one_sided(np.arange(len(leans))[None], window, share)[0])
 
 
 def lean_quota(leans: list[str | None], window: int = QUOTA_WINDOW, share: float = QUOTA_SHARE) -> list[int]:
@@ -131,82 +126,23 @@ def cap_holds(order: list[int], events: list, rare: list[set[str]], window: int
 
 def at_place(order: list[int], i: int, place: int) -> list[int]:
     """`order` with i at a place from 0, the others as they were."""
-    rest = [x for x in order if x != i]
-    return rest[:place] + [i] + rest[place:]
+    return moved(np.array(order, np.int64), [i], place)[0].tolist()
 
 
 def explore(order: list[int], neutral: list[int], leans: list[str | None], events: list | None = None, rare: list[set[str]] | None = None, slots: tuple[int, ...] = SLOTS) -> list[int]:
-    """Each slot takes the best story at or below it by neutral score.
-
-    Of those whose move keeps the repeat cap (of all where none does), the best one whose
-    move breaks no more of the lean quota, or the best outright where each breaks it.
-    """
-    lean_breaks = lambda o: breaks([leans[i] for i in o])
-
-    def fill(state: tuple[list[int], frozenset[int]], slot: int) -> tuple[list[int], frozenset[int]]:
-        now, placed = state
-        moves = [(i, at_place(now, i, slot - 1)) for i in sorted(now[slot - 1 :], key=lambda i: (-neutral[i], i)) if i not in placed]
-        if not moves:
-            return state
-        if events is not None:
-            moves = [m for m in moves if cap_holds(m[1], events, rare)] or moves
-        base = lean_breaks(now)
-        i, then = next((m for m in moves if lean_breaks(m[1]) <= base), moves[0])
-        return then, placed | {i}
-
-    return reduce(fill, (x for x in sorted(slots) if 1 <= x <= len(order)), (list(order), frozenset()))[0]
+    """Each slot takes the best story at or below it by neutral score, with care for the repeat cap and the lean quota."""
+    cap = None if events is None else lambda o: cap_holds(o, events, rare)
+    return explored(Page(leans, neutral, cap), order, slots)
 
 
 def floor_pass(order: list[int], must: list[bool], neutral: list[int], leans: list[str | None], places: int) -> list[int]:
-    """Must-know stories fill the first places: those there already, then the best below by neutral score.
-
-    One whose move keeps the lean quota goes first; the floor is kept in any case.
-    """
-    front = lambda head: head + [i for i in order if i not in head]
-    lean_breaks = lambda head: breaks([leans[i] for i in front(head)])
-    head = [i for i in order[:places] if must[i]]
-    below = sorted((i for i in order[places:] if must[i]), key=lambda i: (-neutral[i], i))
-    while below and len(head) < places:
-        base = lean_breaks(head)
-        pick = next((i for i in below if lean_breaks([*head, i]) <= base), below[0])
-        below.remove(pick)
-        head = [*head, pick]
-    return front(head)
+    """Must-know stories fill the first places; `must` goes by card."""
+    return with_floor(Page(leans, neutral), order, must, places)
 
 
 def standing_floor(order: list[int], standing: list[tuple[set[int], int, int]], neutral: list[int], leans: list[str | None], held: set[int]) -> list[int]:
-    """Each standing story, (cards that qualify, places, within), has its places near the top.
-
-    The best qualifying card below the zone changes places with the lowest card of the zone
-    that no floor holds, which goes just below the zone. Where that breaks the lean quota,
-    the first arrangement that does not: next a lower place for the card that leaves, then a
-    higher one for the card that comes, then another card. `held`: cards that stay put.
-    """
-    now, held = list(order), set(held)
-
-    def swapped(card: int, place: int, out_to: int) -> list[int]:
-        rest = [x for x in now if x != card]
-        gone = rest[place]
-        rest[place] = card
-        return rest[:out_to] + [gone] + rest[out_to:]
-
-    for fits, places, within in standing:
-        within = min(within, len(now))
-        there = [i for i in now[:within] if i in fits]
-        held |= set(there[:places])
-        below = sorted((i for i in now[within:] if i in fits), key=lambda i: (-neutral[i], i))
-        for _ in range(places - len(there)):
-            free = [k for k in reversed(range(within)) if now[k] not in held]
-            if not below or not free:
-                break
-            base = breaks([leans[i] for i in now])
-            ways = ((c, k, to) for c in below for k in free for to in range(within, now.index(c) + 1))
-            keep = (w for w in ways if breaks([leans[i] for i in swapped(*w)]) <= base)
-            card, place, to = next(keep, (below[0], free[0], within))
-            now = swapped(card, place, to)
-            below.remove(card)
-            held.add(card)
-    return now
+    """Each standing story, (cards that qualify, places, within), has its places near the top. `held`: cards that stay put."""
+    return with_standing(Page(leans, neutral), order, standing, held)
 
 
 def run_passes(pages: DataFrame, standing: list[tuple[str, int, int]] = (), must_places: int = 3) -> DataFrame:

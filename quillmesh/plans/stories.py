@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.operators import features, storybuild
 from quillmesh.operators import stories as S
 from quillmesh.operators.scale import materialize, scratch
 from quillmesh.session import ship
@@ -110,6 +111,21 @@ def o02(spark, d):
     return S.average_link(a, u, S.scored_pairs(pairs, v, a))
 
 
+@query("a05_story_vectors")
+def a05_stories(spark, d):
+    """A4, A5, F12 to F14 in full: story stopwords, amounts, entities by the run's own capitals, weighted half as much again."""
+    ship(spark)
+    a = articles(spark, d)
+    return features.story_vectors(features.story_terms(a), a.count()).select("id", "term", "df", "entity", F.round("w", 9).alias("w"))
+
+
+@query("o03_stories")
+def o03(spark, d):
+    """O2 and O3 in full: average link with the threshold of rare entities, then the merge pass over shared headline words."""
+    ship(spark)
+    return storybuild.build_stories(articles(spark, d))
+
+
 @query("r24_story_method", with_tables("members", also="s AS (SELECT cluster_id, count(DISTINCT unit_id) AS units, count(*) > count(DISTINCT unit_id) AS dups, bool_or(article_id < 500) AS emb FROM members GROUP BY cluster_id)") + "SELECT cluster_id, CASE WHEN units = 1 AND dups THEN 'minhash' ELSE (CASE WHEN dups THEN 'minhash+cosine_entity' ELSE 'cosine_entity' END) || (CASE WHEN emb THEN '+embedding' ELSE '' END) END AS method FROM s")
 def r24(spark, d):
     s = members(spark, d).groupBy("cluster_id").agg(F.countDistinct("unit_id").alias("units"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("article_id") < 500).alias("emb"))
@@ -122,7 +138,7 @@ PROPER = rf"""pw AS (SELECT unnest(list_transform(regexp_extract_all(t, '{W}')[2
 
 def proper(spark, d):
     a = articles(spark, d)
-    w = a.select("title").union(a.select("dek")).select(F.explode(F.slice(F.regexp_extract_all("title", F.lit(f"({T.WORD})")), 2, 100_000)).alias("w"))
+    w = a.select("title").union(a.select("dek")).select(F.explode(F.slice(F.regexp_extract_all("title", F.lit(f"({T.WORD})")), F.lit(2), F.length("title") + 1)).alias("w"))
     return w.groupBy(F.lower("w").alias("k")).agg(F.count_if(F.col("w").rlike(r"^\p{Lu}")).alias("cap"), F.count(F.lit(1)).alias("n"))
 
 

@@ -111,3 +111,13 @@ def test_checks_of_empty_tables(spark):
     assert reference_faults(none("id int, source_id string"), none("source_id string"), none("cluster_id int, id int"), none("cluster_id int, group_id int, id int")).count() == 0
     assert event_faults(none("event_id int, cluster_id int, live boolean, eligible boolean"), none("cluster_id int")).count() == 0
     assert profile_faults(none("name string, document string")).count() == 0
+
+
+def test_keywords_beside_a_reference_and_boolean_schemas(spark):
+    schema = {"$defs": {"s": {"type": "string", "minLength": 2}}, "type": "object", "properties": {"a": {"$ref": "#/$defs/s", "maxLength": 3}, "b": True, "c": False, "d": {"type": "array", "items": False}, "e": {"items": True}}}
+    docs = ['{"a": "ab"}', '{"a": "abcdef"}', '{"a": "x"}', '{"a": 5}', '{"b": {"any": [1]}, "e": [1, null]}', '{"c": null}', '{"d": []}', '{"d": [1]}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "i int, doc string")
+    got = {r.i: sorted(r.f) for r in df.select("i", schema_faults(F.try_parse_json("doc"), schema).alias("f")).collect()}
+    assert got == {0: [], 1: ["$.a: too long"], 2: ["$.a: too short"], 3: ["$.a: not string"], 4: [], 5: ["$.c: not allowed"], 6: [], 7: ["$.d[0]: not allowed"]}
+    whole = df.select(schema_faults(F.try_parse_json("doc"), True).alias("y"), schema_faults(F.try_parse_json("doc"), False).alias("n")).first()
+    assert whole.y == [] and whole.n == ["$: not allowed"]
