@@ -13,6 +13,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql

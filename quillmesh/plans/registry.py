@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contracts, history, items, joins, more, profile, ranking, relations, scalars, sinks, stories, streams  # noqa: F401
+from . import contracts, history, items, joins, more, profile, ranking, relations, scalars, sinks, stories, streams, tagging  # noqa: F401
 
 from .base import ORACLE_SQL, QUERIES
 
