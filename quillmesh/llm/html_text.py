@@ -5,8 +5,9 @@ and table sections and rows that it implies. `render` walks the tree under visib
 rules and lays out all visible text: blocks on lines of their own, a blank line around
 paragraphs and headings, list items with their markers, preformatted text as it stands,
 and table cells padded to the width of their columns, over column and row spans. Both are
-loops that go over the page once, so depth and broken markup cost no more than text does.
-The layout has bounds, which drop no text: DEEP, WIDE and SPANNED.
+loops that go over the page once; a line is laid out once for each table around it, and
+NESTED tables deep rows and cells become plain blocks, so depth and broken markup cost no
+more than text does. The layout has bounds, which drop no text: NESTED, DEEP, WIDE and SPANNED.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ WALLS = {"table", "td", "th", "caption", "html", "template", "button", "object"}
 DEEP = 80
 #: A cell is padded to so many characters at most; wider cells push the rest of their line to the right.
 WIDE = 160
+#: Tables within so many others have their cells laid out as blocks, one below the other.
+NESTED = 6
 #: Columns that a cell spans, and columns in which a cell may reach into later rows.
 SPANNED = 100
 
@@ -343,12 +346,15 @@ def spans(node: Node) -> tuple[int, int]:
 class Frame:
     """An open element: where its children and their lines go, and what to undo at its end."""
 
-    __slots__ = ("node", "at", "sheet", "pre", "seen", "rows", "stray", "before", "count")
+    __slots__ = ("node", "at", "sheet", "pre", "seen", "rows", "stray", "before", "count", "tables")
 
     def __init__(self, node: Node, sheet: Sheet, pre: bool, seen: bool, rows: list[list[Cell]]):
         self.node, self.at, self.sheet, self.pre, self.seen, self.rows = node, 0, sheet, pre, seen, rows
         self.stray: Sheet | None = None  # the sheet around, where an element has one of its own
-        self.before = self.count = 0
+        self.before = self.count = self.tables = 0
+
+
+TABULAR = {"td", "th", "tr", "table", *SECTIONS}
 
 
 def render(root: Node) -> str:
@@ -386,8 +392,15 @@ def render(root: Node) -> str:
                     sheet.open.append(child.attrs.get("value", ""))
             elif tag not in VOID:
                 inner = Frame(child, sheet, frame.pre or tag == "pre", seen, frame.rows)
+                inner.tables = frame.tables + (tag == "table")
                 stack.append(inner)
-                if tag in ("td", "th", "tr", "table") or tag in SECTIONS:
+                if tag in TABULAR and inner.tables > NESTED:
+                    sheet.end_line(frame.pre)
+                    if tag == "table":
+                        sheet.gap = sheet.gap or bool(sheet.lines)
+                    inner.rows = []
+                    inner.before = len(sheet.prefix)
+                elif tag in TABULAR:
                     if tag == "table":
                         sheet.end_line(frame.pre)
                         sheet.gap = sheet.gap or bool(sheet.lines)
@@ -421,7 +434,12 @@ def render(root: Node) -> str:
                 sheet.put(grid(frame.rows))
             return "\n".join(page.lines).strip("\n")
         above = stack[-1]
-        if tag in ("td", "th"):
+        if tag in TABULAR and frame.tables > NESTED:
+            sheet.end_line(frame.pre)
+            sheet.back(frame.before)
+            if tag == "table":
+                sheet.gap = bool(sheet.lines)
+        elif tag in ("td", "th"):
             sheet.end_line(frame.pre)
             cell = (sheet.lines, *spans(node))
             if above.node.tag == "tr":

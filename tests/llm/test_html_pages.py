@@ -52,6 +52,9 @@ def test_layout(page, text):
         "<blockquote>x" * 70_000,
         "<p><b>" * 150_000,
         "<table><tr><td>" * 60_000 + "x",
+        "<table><tr><td>x" * 60_000,
+        "<table><tr><td>a<td>x" * 45_000,
+        "<table><tbody><tr><th>h<td><ul><li>q" * 25_000,
         "<table>" + "<tr><td rowspan=60000>a" * 40_000,
         "<table><tr>" + "<td rowspan=65000>a" * 25_000 + "<tr><td>x" * 50_000,
         "<table>" + "<tr><td colspan=99>a<td>b" * 40_000,
@@ -71,6 +74,23 @@ def test_hostile_pages_take_linear_time(page):
     assert time.process_time() - began < 12 and len(text) < 60 * len(page)
 
 
+def test_deep_tables_lose_no_text():
+    words = [f"w{i}" for i in range(300)]
+    text = extract("".join(f"<table><tr><td>{w}<td>x{w}" for w in words))
+    assert sorted(text.replace("|", " ").split()) == sorted(x for w in words for x in (w, f"x{w}"))
+
+
+def test_random_tables_line_up():
+    """Without spans: cells padded to their column, bars between, nothing behind the last cell's text."""
+    r = random.Random(4)
+    for _ in range(200):
+        rows = [[" ".join("ab"[: r.randrange(1, 3)] * r.randrange(1, 4) for _ in range(r.randrange(0, 3))) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(1, 6))]
+        page = "<table>" + "".join(r.choice(["<tr>", "<tbody><tr>"]) + "".join(f"<td>{c}" + r.choice(["", "</td>"]) for c in row) + r.choice(["", "</tr>"]) for row in rows) + r.choice(["", "</table>"])
+        width = [max(len(row[k]) for row in rows if k < len(row)) for k in range(max(map(len, rows)))]
+        want = [" | ".join(c.ljust(width[k]) for k, c in enumerate(row)).rstrip() for row in rows if any(row)]
+        assert [x.rstrip(" |") for x in extract(page).split("\n") if x.strip(" |")] == [x.rstrip(" |") for x in want], page
+
+
 class Visible(html.parser.HTMLParser):
     """The words outside of a few unseen elements; enough for the given pages."""
 
