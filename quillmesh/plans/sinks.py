@@ -137,4 +137,4 @@ def o16(spark, d):
 def k12(spark, d):
     """Two streams joined: what a reader opened within an hour of a view."""
     e = lambda kind: events_stream(spark, d).filter(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return finished(K.opened_within(e("view"), e("click"), delay="3650 days"), spark, "append")
+    return finished(K.opened_within(e("view"), e("click")), spark, "append")

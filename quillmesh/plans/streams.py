@@ -1,4 +1,8 @@
-"""K: streaming operators, run over a table as a stream to its end."""
+"""K: streaming operators, run over a table as a stream to its end.
+
+A table is one file and so one batch; watermarks of a day or an hour hold back nothing in
+it, and let state go where a stream has many.
+"""
 
 from __future__ import annotations
 
@@ -61,4 +65,27 @@ def k03(spark, d):
 @query("k08_recorded_once_stream", with_tables("history") + "SELECT DISTINCT user_id, article_id, kind FROM history")
 def k08(spark, d):
     h = events_stream(spark, d).select("user_id", (F.col("event_id") * 13 % 1000).alias("article_id"), F.when(F.col("event_type") == "view", "shown").when(F.col("event_type") == "click", "opened").when(F.col("event_type") == "purchase", "up").when(F.col("event_type") == "error", "down").otherwise("save").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
-    return finished(K.recorded_once(h, "3650 days").select("user_id", "article_id", "kind"), spark, "append")
+    return finished(K.recorded_once(h).select("user_id", "article_id", "kind"), spark, "append")
+
+
+LIVE_RUNS, LIVE_EVERY_S = 10, 4 * 3600
+
+
+def live_run(batch):
+    """id, hype, eligible, now_s: a run's events: how many different readers each of twelve had, and whether any of them bought."""
+    run = F.floor((F.dayofmonth("ts") - 1) / 3)
+    e = batch.groupBy(F.concat(F.lit("e"), (F.col("event_id") % 12).cast("string")).alias("id")).agg(F.countDistinct("user_id").alias("hype"), (F.count_if(F.col("event_type") == "purchase") * 5 > F.count(F.lit(1))).alias("eligible"), F.max(run).alias("run"))
+    return e.select("id", "hype", "eligible", (F.col("run") * LIVE_EVERY_S).cast("long").alias("now_s"))
+
+
+@query("k02_live_slot")
+def k02(spark, d):
+    """K2: the live slot over ten runs of three days of events each, a run a batch of a stream, four hours apart."""
+    at = f"{shared_dir(spark)}/streams/live_{uuid.uuid4().hex[:10]}"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    for run in range(LIVE_RUNS):  # one file a run, in order of time
+        events.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 3), F.lit(LIVE_RUNS - 1)) == run).coalesce(1).write.mode("append").parquet(f"{at}/runs")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/runs")
+    step = K.live_batches(f"{at}/slots", lambda batch, _: live_run(batch))
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id string, since_s long, epoch int").parquet(f"{at}/slots").select("epoch", "id", "since_s")
