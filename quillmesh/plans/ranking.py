@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
+from quillmesh.operators.poolfill import fill_pool
 from quillmesh.operators.ranking import run_passes, score_terms, select_pool
 from quillmesh.operators.order import placed
 from quillmesh.session import ship
-from quillmesh.sources.fixtures import HARD_NEWS, NOW_S, TOPICS, articles, history, members, read, sources, with_tables
+from quillmesh.sources.fixtures import BASE_S, HARD_NEWS, NOW_S, TOPICS, articles, history, members, read, sources, with_tables
 
 from .base import query
 from .items import STORY, facts
@@ -259,6 +260,26 @@ def o05(spark, d):
     return select_pool(c, 60_000)
 
 
+POOL_BUDGET = 60_000
+
+
+def pool_candidates(spark, d):
+    """Candidates of O5: runs of six hours, with the points of R9 that the tables give."""
+    f = facts(spark, d).select("cluster_id", "independent", "leans")
+    a = members(spark, d).join(articles(spark, d), F.col("article_id") == F.col("id")).join(f, "cluster_id").join(F.broadcast(sources(spark, d)), "source_id", "left")
+    run = F.floor((F.col("published_s") - BASE_S) / 21_600)
+    age = (F.lit(BASE_S) + (run + 1) * 21_600 - F.col("published_s")) / 3600.0
+    score = F.least(F.lit(36), F.bround(12 * F.log2(F.col("independent").cast("double")), 0)) + F.when(F.size("leans") >= 2, 8).otherwise(0) + F.when(F.arrays_overlap("topics", F.array(*map(F.lit, HARD_NEWS))), 10).otherwise(0) + F.bround(20 * F.pow(F.lit(2.0), -age / 12), 0)
+    return a.select(run.alias("run_id"), "id", "url", "source_id", "syndication_group", F.col("cluster_id").cast("long"), ((F.col("independent") >= 2) & (F.size("leans") >= 2)).alias("two_sided"), "bucket", "lean", "topics", score.cast("long").alias("score"), F.col("published_s").cast("long"), age.alias("age_h"), (F.octet_length("title") + F.octet_length("dek") + 200).cast("long").alias("bytes"))
+
+
+@query("o05_fill_pool")
+def o05_fill(spark, d):
+    """Floors of outlets, stories, buckets and tags, then the fill under all ceilings; held against a greedy run in the tests."""
+    ship(spark)
+    return fill_pool(pool_candidates(spark, d), POOL_BUDGET, {"science": 12})
+
+
 @query("o14_page_passes")
 def o14(spark, d):
     """Ordered scans of pages of some 250 cards, held against brute force in the tests."""
