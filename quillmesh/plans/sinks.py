@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.operators.graph import components
+from quillmesh.operators.graph import FEW_EDGES, components
 from quillmesh.operators.items import first_by
 from quillmesh.operators.order import placed
 from quillmesh.operators.scale import materialize, scratch
@@ -128,7 +128,7 @@ def o16(spark, d):
     sure = QUERIES["j12_near_misses"](spark, d).filter(F.least(F.lit(0.99), 0.6 + 0.1 * F.col("shared")) >= 0.9)
     free = m.join(units.filter("topics < 5").select("unit_id"), "unit_id")
     links = sure.join(free.select(F.col("id").alias("a"), F.col("unit_id").alias("x")), "a").join(free.select(F.col("id").alias("b"), F.col("unit_id").alias("y")), "b").filter("x <> y")
-    met = materialize(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).join(units, F.col("node") == F.col("unit_id")).select("unit_id", "component", "n", "first"), scratch(spark, "joined"))
+    met = materialize(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), FEW_EDGES).join(units, F.col("node") == F.col("unit_id")).select("unit_id", "component", "n", "first"), scratch(spark, "joined"))
     fits = met.groupBy("component").agg(F.sum("n").alias("members"), F.min("first").alias("first_")).filter("members <= 12")
     return met.join(fits, "component").select("unit_id", F.col("first_.id").alias("seed"))
 

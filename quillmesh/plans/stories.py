@@ -85,7 +85,7 @@ def linked(spark, d):
     """(items, units, vectors, blocked pairs), each written once."""
     ship(spark)
     kept = lambda df, tag: materialize(df, scratch(spark, tag))
-    a = kept(articles(spark, d), "articles")
+    a = kept(articles(spark, d).select("id", "source_id", "title", "dek", "published_s"), "articles")
     n = a.count()
     u = kept(S.units(a), "units")
     v = kept(S.tf_idf(kept(S.term_rows(a), "terms"), n), "vectors")

@@ -32,8 +32,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     Title and dek are the first words of the text, however much white space it starts with; topics are read from all of it.
     """
     flat = lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
-    d = read(spark, sf_dir, "documents").withColumn("flat", flat(F.col("text")))
-    d = d.withColumn("w", F.split("flat", " ", 63)).withColumn("tagged", F.concat(F.lit(" "), "flat", F.lit(" ")))
+    d = read(spark, sf_dir, "documents")
+    head = F.regexp_extract("text", r"^[ \t\n\r\f]*((?:[^ \t\n\r\f]+[ \t\n\r\f]+){0,62})([^ \t\n\r\f]*)", 0)  # 62 words and more, and no look at the rest
+    d = d.withColumn("w", F.split(flat(head), " ", 63)).withColumn("tagged", F.concat(F.lit(" "), flat(F.col("text")), F.lit(" ")))
     title, dek = F.array_join(F.slice("w", 1, 12), " "), F.array_join(F.slice("w", 13, 50), " ")
     tags = [F.when(reduce(or_, (F.col("tagged").contains(f" {k} ") for k in ks)), F.lit(t)) for t, ks in TOPICS.items()]
     at = F.lit(BASE_S) + (F.col("doc_id") * 7919) % 259_200

@@ -27,10 +27,12 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     nodes = {x for e in edges if e[0] != e[1] for x in e}
-    assert got == {x: find(x) for x in nodes}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1 << 16):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {x: find(x) for x in nodes}
+        assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+        assert components(spark.createDataFrame([(None, 1), (3, 3)], "a long, b long"), few).count() == 0
 
 
 def test_skew_join_keeps_all_rows(spark):
@@ -77,8 +79,9 @@ def test_average_link_matches_one_join_at_a_time(spark):
         found = naive_agglomerate({i: [i] for i in ids}, times, sources, scores, 0.41)
         want |= {i: c for c, m in found.items() for i in m}
     frame = spark.createDataFrame(items, "id long, source_id string, published_s long")
-    got = S.average_link(frame, frame.select("id", F.col("id").alias("unit")), spark.createDataFrame(pairs, "a long, b long, score double"))
-    assert {x.id: x.story for x in got.collect()} == want
+    for bound in (S.BOUND, 0):
+        got = S.average_link(frame, frame.select("id", F.col("id").alias("unit")), spark.createDataFrame(pairs, "a long, b long, score double"), bound=bound)
+        assert {x.id: x.story for x in got.collect()} == want
     assert len(set(want.values())) < len(want) - 50
 
 
