@@ -43,17 +43,22 @@ def least_overlap(shortest: int) -> int:
     return -(-shortest // 2)
 
 
-def split_words(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, cut at ASCII white space, a piece of the text at a time."""
+def pieces(data: bytes) -> Iterator[bytes]:
+    """A text cut at blanks into pieces of about PIECE bytes."""
     at = 0
     while at < len(data):
         end = at + PIECE
         stop = BLANK.search(data, end) if end < len(data) else None
         end = stop.start() if stop else len(data)
-        yield data[at:end].split()
+        yield data[at:end]
         at = end
 
 
+def split_words(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, cut at ASCII white space, a piece of the text at a time."""
+    return (piece.split() for piece in pieces(data))
+
+
 def repeated_stretches(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the stretches of words that lie in k-grams that occur twice (or collide)."""
     none = np.empty(0, np.int64), np.empty(0, np.int64)

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, held, materialize, remove, scratch, skew_join
-from .periodic_runs import split_words
+from .common import held, materialize, remove, scratch, skew_join
+from .periodic_runs import PIECE, pieces, split_words
 from .suffix_dedup import NULL_ID, folded
 
 WINDOW = 50
@@ -53,10 +53,8 @@ def layout(total: int) -> tuple[int, int]:
 def rolling(values: np.ndarray, base: int, k: int) -> np.ndarray:
     """Rabin-Karp, modulo 2^64: for each run of k values, the sum of value j times base^-j. The values are hashes themselves."""
     with np.errstate(over="ignore"):
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(values), np.uint64(pow(base, -1, 1 << 64)), np.uint64)]), dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:-1], dtype=np.uint64)])
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, len(values) - k), np.uint64(base), np.uint64)]), dtype=np.uint64)
-        return (sums[k:] - sums[:-k]) * up
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(pow(base, -1, 1 << 64), len(values))[:-1], dtype=np.uint64)])
+        return (sums[k:] - sums[:-k]) * _powers(base, max(0, len(values) - k))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -65,30 +63,69 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(32)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base), np.uint64)]), dtype=np.uint64)
+
+
+class WordHasher:
+    """64-bit hashes of words, straight from the bytes: a sum of a random number a byte times a power of its place in the word."""
+
+    BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+    def __init__(self):
+        self.number = np.random.Generator(np.random.PCG64(20_260_924)).integers(1, 1 << 63, 256, np.uint64)
+        self.n = 0
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes and the places of their first bytes."""
+        a = np.frombuffer(data, np.uint8)
+        if len(a) > self.n:
+            self.n = max(len(a), PIECE)
+            self.up, self.down = _powers(BASES[1], self.n), _powers(pow(BASES[1], -1, 1 << 64), self.n)
+        inside = np.concatenate([[False], ~self.BLANK[a], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.number[a] * self.down[: len(a)], dtype=np.uint64)])
+            return mixed((sums[end] - sums[start]) * self.up[start]), start
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of the texts in order, and how many each text has; a block of texts, or a piece of a long one, at a time."""
+        hashes, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) < PIECE):
+                size += len(texts[end]) + 1
+                end += 1
+            if end == at + 1:
+                for piece in pieces(texts[at]):
+                    hashes.append(self.block(piece)[0])
+                    counts[at] += len(hashes[-1])
+            else:
+                found, start = self.block(b"\n".join(texts[at:end]))
+                hashes.append(found)
+                first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[at:end]])])
+                counts[at:end] = np.diff(np.searchsorted(start, first))
+            at = end
+        return np.concatenate(hashes), counts
+
+
 class Windows:
     """The windows of a chunk's texts: h and g, their hashes; start, their first word, counted over the chunk; rank, that of their document's id."""
 
     def __init__(self, tab: pa.Table, k: int):
-        table = held("words", WordHashes)
-        hashes, self.lengths = [np.empty(0, np.uint64)], np.zeros(tab.num_rows, np.int64)
-        for i, data in enumerate(tab.column("data")):
-            for words in split_words(data.as_py()):
-                hashes.append(np.fromiter(map(table.__getitem__, words), np.uint64, len(words)))
-                self.lengths[i] += len(words)
-        w = np.concatenate(hashes)
+        w, self.lengths = held("hasher", WordHasher).texts(tab.column("data").to_pylist())
         self.ids, rank = np.unique(tab.column("doc_id").to_numpy(), return_inverse=True)
-        n = self.lengths - k + 1
+        n = np.maximum(self.lengths - k + 1, 0)
         first = np.concatenate([[0], np.cumsum(self.lengths)])
         self.first, self.words = first[:-1], int(first[-1])
-        inside = np.repeat(first[1:] - k + 1 - np.cumsum(np.maximum(n, 0)), np.maximum(n, 0)) + np.arange(int(np.maximum(n, 0).sum()))
-        self.start = inside
-        self.rank = np.repeat(rank, np.maximum(n, 0))
-        if len(inside):
-            self.h = mixed(rolling(w, BASES[0], k)[inside])
-            with np.errstate(over="ignore"):
-                self.g = (mixed(rolling(mixed(w * np.uint64(BASES[1])), BASES[1], k)[inside]) >> np.uint64(32)).astype(np.int32)
-        else:
-            self.h, self.g = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.start = np.repeat(first[:-1] + n - np.cumsum(n), n) + np.arange(int(n.sum()))
+        self.rank = np.repeat(rank, n)
+        with np.errstate(over="ignore"):
+            self.h = mixed(rolling(w, BASES[0], k)[self.start])
+            self.g = (mixed(rolling(mixed(w * np.uint64(BASES[1])), BASES[1], k)[self.start]) >> np.uint64(32)).astype(np.int32)
 
 
 def codes(h: np.ndarray, bins: int) -> np.ndarray:
