@@ -135,7 +135,20 @@ def test_near_classes_and_units_match_all_pairs(spark):
     for a, b in want:
         x, y = label[a], label[b]
         label = {i: min(x, y) if v in (x, y) else v for i, v in label.items()}
-    assert {x.id: x.unit for x in S.units(frame).collect()} == label
+    for most in (S.PAIRS_A_NODE, 0):  # all pairs at once, and hub after hub
+        assert {x.id: x.unit for x in S.units(frame, most).collect()} == label
+
+
+def test_near_copies_give_links_not_pairs(spark):
+    """1,500 texts that are all near each other, as 1.1 million pairs: a few links a text, and one unit a time span."""
+    words = [f"word{i}" for i in range(30)]
+    rows = [(i, "s", " ".join(words[:8]), " ".join([*words[8 : 8 + i % 20], f"own{i}", *words[9 + i % 20 :]]), i * 50) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "id long, source_id string, title string, dek string, published_s long")
+    s, classes, keyed = S.class_tables(frame)
+    nodes = S.class_members(s, classes).select("rep", F.floor(F.col("published_s") / S.WINDOW_S).alias("span"), F.col("id").alias("node"), F.col("published_s").alias("lo"), F.col("published_s").alias("hi"))
+    links = S.node_links(nodes, keyed, classes)
+    assert 1499 <= links.count() <= 12_000
+    assert {x.unit for x in S.units(frame).collect()} == {0}
 
 
 def test_copies_give_rows_and_no_pairs(spark):
