@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contracts, history, items, joins, more, pages, profile, ranking, readings, relations, scalars, sinks, stories, streams, tagging  # noqa: F401
+from . import contracts, history, items, joins, more, pages, profile, ranking, readings, relations, scalars, scans, sinks, stories, streams, tagging  # noqa: F401
 
 from .base import ORACLE_SQL, QUERIES
 
