@@ -274,3 +274,9 @@ def f48(spark, d):
     p, i = read(spark, d, "pages").filter("page_id > 0"), F.col("page_id")
     width = F.when(i % 4 == 0, F.concat(F.lit("-"), i.cast("string"))).when(i % 4 == 1, F.concat(i.cast("string"), F.lit("px"))).otherwise(i.cast("string"))
     return p.select("page_id", T.unescape_amp(F.replace("url", F.lit("&"), F.lit("&amp;"))).alias("plain"), N.positive_int(width).alias("width"))
+
+
+@query("f37_document_quotes", "SELECT doc_id, sha256(translate(coalesce(text, ''), '‘’“”–—', chr(39) || chr(39) || '\"\"--')) AS folded FROM documents")
+def f37_documents(spark, d):
+    """F37 over whole documents, by digest."""
+    return read(spark, d, "documents").select("doc_id", F.sha2(T.quote_fold(F.coalesce("text", F.lit(""))), 256).alias("folded"))
