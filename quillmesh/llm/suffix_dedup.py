@@ -12,7 +12,9 @@ distributed by content:
    anchors, so suffixes are dealt over the cluster by anchor: each task sorts the
    suffixes of its different contexts and compares adjacent prefixes of 50 bytes; the
    strings of a class belong to its smallest document. All strings of an occurrence go
-   if a smaller document has its context, else those that the classes name.
+   if a smaller document has its context, else those that the classes name. Contexts of
+   one anchor beyond ARRAY_BYTES are parted by what stands beside the anchor, so that no
+   array is much longer.
 4. An anchor with very many occurrences is folded and dealt string by string instead.
 5. Runs are cut from the chunks.
 """
@@ -299,7 +301,7 @@ def removed_strings(found: DataFrame) -> DataFrame:
             anchor[index] = tab.column("anchor").to_numpy()
             texts = coded.dictionary.to_pylist()
             strings[:] = [len(t) - LENGTH + 1 for t in texts]
-            masks = string_masks(texts, first, anchor)
+            masks = bounded_masks(texts, first, anchor)
             mask = np.where(doc > first[index], (np.int64(1) << strings[index]) - 1, masks[index])
             tab = tab.append_column("mask", pa.array(mask, pa.int32())).filter(pa.array(mask != 0)).combine_chunks()
             return pa.RecordBatch.from_arrays([tab.column(n).combine_chunks() if tab.num_rows else pa.array([], t) for n, t in kinds], names=[n for n, _ in kinds])
@@ -341,6 +343,72 @@ def removed_strings(found: DataFrame) -> DataFrame:
     return out.union(met.select("chunk", "of", "pos", mask.cast("int").alias("mask")).filter("mask != 0"))
 
 
+def bounded_masks(contexts: list[bytes], first: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """`string_masks` of different contexts, by arrays of ARRAY_BYTES about, however many contexts an anchor has."""
+    out = np.zeros(len(contexts), np.int64)
+    size = np.array([len(c) for c in contexts], np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+    at = 0
+    for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(contexts)], strict=True):
+        large = size[begin:end].sum() > ARRAY_BYTES
+        if at < begin and (large or size[at:end].sum() > ARRAY_BYTES):
+            out[at:begin] = string_masks(contexts[at:begin], first[at:begin], group[at:begin])
+            at = begin
+        if large:
+            some = contexts[begin:end]
+            place = np.zeros(len(some), np.int64)
+            for text, _, _, start, _ in anchors(some):
+                place[text] = start
+            out[begin:end] = parted_masks(some, first[begin:end], place, 0, SPAN - 1)
+            at = end
+    if at < len(contexts):
+        out[at:] = string_masks(contexts[at:], first[at:], group[at:])
+    return out
+
+
+def parted_masks(contexts: list[bytes], first: np.ndarray, place: np.ndarray, low: int, high: int) -> np.ndarray:
+    """`string_masks` of different contexts of one anchor, which starts at `place`.
+
+    `low` to `high`: where in its strings the anchor starts. Equal strings have it at the
+    same place, so the strings are parted by it in halves; those of a half have some bytes
+    beside the anchor in common with all equal ones, and are parted by these. What is
+    left at the end is one string, with its copies folded.
+    """
+    out = np.zeros(len(contexts), np.int64)
+    if low == high or len(contexts) < 2:  # each is one string, and they differ
+        return out
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        parts: dict[bytes, dict[bytes, list[int]]] = {}
+        begin = np.maximum(0, place - b)
+        for i, (s, p, c) in enumerate(zip(begin.tolist(), place.tolist(), contexts, strict=True)):
+            e = min(len(c) - LENGTH, p - a)
+            if s <= e:
+                parts.setdefault(c[p - a : p - b + LENGTH], {}).setdefault(c[s : e + LENGTH], []).append(i)
+        held: list[dict[bytes, list[int]]] = []
+        volume = 0
+        for x in (*parts.values(), None):  # None: the last array
+            size = sum(map(len, x)) if x else 0
+            if held and (x is None or volume + size > ARRAY_BYTES):
+                texts = [c for y in held for c in y]
+                who = [y[c] for y in held for c in y]
+                least = np.array([first[w].min() for w in who])
+                of = np.repeat(np.arange(len(held)), [len(y) for y in held])
+                if len(held) == 1 and volume > ARRAY_BYTES:
+                    masks = parted_masks(texts, least, np.array([place[w[0]] - begin[w[0]] for w in who]), a, b)
+                else:
+                    masks = string_masks(texts, least, of)
+                for c, w, m, mask in zip(texts, who, least.tolist(), masks.tolist(), strict=True):
+                    whole = (1 << (len(c) - LENGTH + 1)) - 1
+                    for i in w:
+                        out[i] |= (whole if first[i] > m else mask) << int(begin[i])
+                held, volume = [], 0
+            if x:
+                held.append(x)
+                volume += size
+    return out
+
+
 def string_masks(contexts: list[bytes], first: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For each context, the bits of its strings that a smaller document has, by a suffix array of all.
 

@@ -513,3 +513,36 @@ def test_suffix_dedup_rows_between_chunks_and_bins():
     for total in (0, 10**9, 10**11, 10**12, 10**13, 10**14):
         chunks, bins = layout(total)
         assert chunks * bins * 1024 <= max(total, 12 * 12 * 1024) * 1.01 and 4 * total / 13 / bins < 500e6
+
+
+def test_suffix_arrays_stay_short_however_many_contexts_an_anchor_has(monkeypatch):
+    """Against all strings in Python: masks are the same, and no array is much longer than ARRAY_BYTES."""
+    from quillmesh.llm import suffix_dedup as module
+
+    r = np.random.default_rng(51)
+    some = [bytes(r.integers(97, 123, module.GRAM, np.uint8)) for _ in range(3000)]
+    cores = sorted(some, key=lambda g: int(module.gram_hashes(np.frombuffer(g, np.uint8))[0]) >> 32)[:2]  # of low hashes, so anchors
+    found = {}
+    for i in range(1200):
+        core = cores[i % 5 == 0]
+        left, right = (bytes(r.choice([98, 99], 4, p=[0.8, 0.2]).astype(np.uint8)) * 7 for _ in range(2))
+        text = left[: r.integers(29)] + core + right[: r.integers(29)]
+        for _, a, b, _, h in module.anchors([text]):
+            for x, y, z in zip(a.tolist(), b.tolist(), h.tolist(), strict=True):
+                found.setdefault((z, text[x : y + 50]), i)
+    found = dict(sorted(found.items(), key=lambda e: e[0]))
+    contexts, first, group = [c for _, c in found], np.array(list(found.values())), np.array([h % 2**62 for h, _ in found])
+    assert max(np.unique(group, return_counts=True)[1]) > 200
+    least = {}
+    for c, i in zip(contexts, first.tolist(), strict=True):
+        for p in range(len(c) - 49):
+            least[c[p : p + 50]] = min(least.get(c[p : p + 50], i), i)
+    want = [sum((least[c[p : p + 50]] < i) << p for p in range(len(c) - 49)) for c, i in zip(contexts, first.tolist(), strict=True)]
+    assert sum(w > 0 for w in want) > 50
+    order, longest = module.suffix_order, []
+    monkeypatch.setattr(module, "suffix_order", lambda s, levels: longest.append(len(s)) or order(s, levels))
+    for size in (1 << 20, 4000, 600):
+        monkeypatch.setattr(module, "ARRAY_BYTES", size)
+        longest.clear()
+        assert module.bounded_masks(contexts, first, group).tolist() == want
+        assert max(longest) <= 1.1 * size
