@@ -3,8 +3,7 @@
 One classifier reads the text's content, another the metadata beside it (language,
 source, lengths and layout counts). Each is trained on the labelled documents; over
 rounds each gives its most confident pseudo-labels, of either label, to the other's
-training set; they are found in a pool of unlabelled documents that grows with the table,
-by a pass over it a round. The views are then calibrated on labelled documents that neither has
+training set; they are found among all unlabelled documents, by a pass over them a round. The views are then calibrated on labelled documents that neither has
 trained on, and combined by the calibrated log odds, weighted on the same documents.
 
 The fit runs on the driver, on a bounded sample of labelled documents and the pseudo-labels
@@ -26,8 +25,6 @@ from .toxicity import calibrate
 
 #: Labelled documents of each label that the fit takes at most.
 TRAIN_DOCS = 1500
-#: One in so many of the unlabelled texts, by a hash of the text, is in the pool.
-POOL_SHARE = 4
 ROUNDS = 4
 #: Pseudo-labels of each label that a view gives to the other in a round, and the
 #: probability that they need at least.
@@ -192,6 +189,7 @@ def surest(pool: DataFrame, views: list[Logistic], used: set[int]) -> DataFrame:
 
     found = pool.select("doc_id", "text_", *COLUMNS, "same").mapInArrow(run, "view int, label int, same long, p double, doc_id long")
     once = found.groupBy("view", "label", "same").agg(F.min(F.struct((-F.col("p")).alias("q"), "doc_id")).alias("best"))
+    once = materialize(once, scratch(pool.sparkSession, "surest"))  # else each of the parts below takes a pass over the pool
     parts = [once.filter((F.col("view") == k) & (F.col("label") == label)).orderBy("best.q", "same").limit(GIVEN) for k in (0, 1) for label in (0, 1)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select("view", "label", "same", (-F.col("best.q")).alias("p"), F.col("best.doc_id").alias("doc_id"))
 
@@ -200,10 +198,11 @@ def _surer(found: tuple[float, int | None]) -> tuple[float, bool, int]:
     return found[0], found[1] is not None, found[1] or 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out=None, pool_share: int = POOL_SHARE) -> Model | None:
-    """Fit on a bounded sample of the labelled documents and a pool of the others, both taken by hashes; None where a label has no documents.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out=None, pool_share: int = 1) -> Model | None:
+    """Fit on a bounded sample of the labelled documents, taken by a hash, and all others; None where a label has no documents.
 
-    Labelled documents beyond the sample are among the others, their labels unseen. `held_out(id)` is a condition on rows whose labels training must not see; they take
+    Labelled documents beyond the sample are among the others, their labels unseen. With a
+    `pool_share` only one in so many of the other texts is looked at. `held_out(id)` is a condition on rows whose labels training must not see; they take
     no part as unlabelled rows either, nor do rows without a text. Rows that repeat a
     labelled id all have its label (the largest, where it repeats in `labels`); an empty
     table gives None.

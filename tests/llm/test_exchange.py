@@ -99,3 +99,18 @@ def test_quality_edges(spark):
     none = spark.createDataFrame([], schema)
     assert quality.train(none, labels) is None and quality.train(df, labels.limit(0)) is None
     assert quality.scored(none, model).count() == 0 and quality.scored(none, None).count() == 0
+
+
+def test_pseudo_labels_are_sought_in_all_other_texts(spark, monkeypatch):
+    """Every text that is neither trained on nor held out, and no other, is looked at in each round."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.llm.common import setup
+
+    setup(spark)
+    rows = [(i, f"a fine line of prose number {i}" if i % 2 else f"%% {i} ## @@") for i in range(240)] + [(None, "no id"), (900, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
+    seen, surest = [], quality.surest
+    monkeypatch.setattr(quality, "surest", lambda pool, *rest: seen.append(sorted(r.text_ for r in pool.collect())) or surest(pool, *rest))
+    assert quality.train(docs, labels, held_out=lambda i: i >= 200)
+    assert len(seen) > 1 and all(x == sorted([t for i, t in rows[60:200]] + ["no id"]) for x in seen)
