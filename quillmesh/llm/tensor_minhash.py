@@ -10,9 +10,10 @@ Candidates are checked on the full shingle sets. In the first round the smallest
 of a bucket is compared with its other members. Where that leaves a bucket in several
 components, later rounds compare those outside its largest one with the rest, HUBS of
 them at a time, until no bucket is open: no link between components is lost. These
-comparisons stay within blocks of bounded size; a block joins its components as it finds
-links, skips pairs that are joined already, and gives one row a join, so less rows than
-it has members.
+comparisons stay within blocks of bounded size, which first meet by half keys and set
+sizes alone: only rows that are then due a comparison are dealt once more, with their
+texts. A block joins its components as it finds links, skips pairs that are joined
+already, and gives one row a join, so less rows than it has members.
 """
 
 from __future__ import annotations
@@ -110,37 +111,43 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def shingle_rows(texts: DataFrame, reps: DataFrame, words: int, side: int) -> DataFrame:
-    """(rep, halves, shingles): half keys and full sets of `reps`, sorted, as bytes."""
+def met_by(h: int, left: np.ndarray, component: np.ndarray, halves: np.ndarray, slot: int, size: np.ndarray, percent: int) -> np.ndarray:
+    """The rows among `left` that hub `h` is to be compared with.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            halves = [half_keys(x, side).tobytes() if len(x) else bytes(16 * side) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "halves", "shingles"])
+    A pair counts where it has a table's key in common, and in the first slot of the
+    first collection that it shares, so once; where its sizes can reach the threshold;
+    and where its components differ.
+    """
+    side = halves.shape[1] // 2
+    which = np.flatnonzero(left & (component != component[h]) & (size > 0) & (100 * np.minimum(size, size[h]) >= percent * np.maximum(size, size[h])))
+    same = halves[which] == halves[h]
+    return which[~same[:, :slot].any(axis=1) & same[:, side:].any(axis=1)]
 
-    return texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_").mapInArrow(run, "rep long, halves binary, shingles binary")
+
+def compared(component: np.ndarray, hubs: np.ndarray, halves: np.ndarray, slot: int, size: np.ndarray, percent: int, among: bool) -> np.ndarray:
+    """Whether each row is in a pair that `joined` can compare."""
+    done, out = np.zeros(len(size), bool) if among else hubs.copy(), np.zeros(len(size), bool)
+    for h in np.flatnonzero(hubs):
+        done[h] = True
+        which = met_by(h, ~done & ~out if out[h] else ~done, component, halves, slot, size, percent)
+        if len(which):
+            out[h] = out[which] = True
+    return out
 
 
 def joined(component: np.ndarray, hubs: np.ndarray, halves: np.ndarray, slot: int, sets: list[np.ndarray], percent: int, among: bool) -> list[tuple[int, int]]:
     """The joins (component, component) that links between hubs and other members make.
 
-    A pair counts where it has a table's key in common, and in the first slot of the
-    first collection that it shares, so once. Members of one component are never
-    compared, and a found link makes two components one from then on, so there are fewer
-    joins than components. `among`: whether hubs are compared with each other too.
+    Members of one component are never compared, and a found link makes two components
+    one from then on, so there are fewer joins than components. `among`: whether hubs are
+    compared with each other too.
     """
-    side = halves.shape[1] // 2
     component, size = component.copy(), np.array([len(x) for x in sets])
     every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
     done, out = np.zeros(len(sets), bool) if among else hubs.copy(), []
     for h in np.flatnonzero(hubs):
         done[h] = True
-        # sets of sizes that can reach the threshold
-        meet = (component != component[h]) & ~done & (size > 0) & (100 * np.minimum(size, size[h]) >= percent * np.maximum(size, size[h]))
-        which = np.flatnonzero(meet)
-        same = halves[which] == halves[h]
-        which = which[~same[:, :slot].any(axis=1) & same[:, side:].any(axis=1)]
+        which = met_by(h, ~done, component, halves, slot, size, percent)
         if not len(which):
             continue
         if len(which) < len(sets) // 4:
@@ -156,19 +163,35 @@ def joined(component: np.ndarray, hubs: np.ndarray, halves: np.ndarray, slot: in
     return out
 
 
-def block_joins(rows: DataFrame, percent: int) -> DataFrame:
-    """The joins (a, b) of components by links between hubs and other members of a block.
+def block_of(key, tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Components, hubs, halves and the key's slot of a block's rows."""
+    halves = tab.column("halves").combine_chunks().flatten().to_numpy().reshape(tab.num_rows, -1)
+    slot = int(np.flatnonzero((halves == key[0].as_py()).any(axis=0))[0])
+    return tab.column("component").to_numpy(), tab.column("is_hub").to_numpy(), halves, slot
+
+
+def due(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that `block_joins` has to compare, by half keys and sizes alone.
 
     rows: key (a half of the first collection), block, rep, component, is_hub, halves,
-    shingles; a block has the hubs of its bucket and BLOCK other members about. Hubs meet
-    each other in block 0.
+    n_shingles; a block has the hubs of its bucket and BLOCK other members about. Hubs
+    meet each other in block 0.
     """
 
     def run(key, tab):
-        sets = [np.frombuffer(x, np.uint64) for x in tab.column("shingles").to_pylist()]
-        halves = np.array([np.frombuffer(x, np.int64) for x in tab.column("halves").to_pylist()])
-        slot = int(np.flatnonzero((halves == key[0].as_py()).any(axis=0))[0])
-        found = joined(tab.column("component").to_numpy(), tab.column("is_hub").to_numpy(), halves, slot, sets, percent, key[1].as_py() == 0)
+        among, size = key[1].as_py() == 0, tab.column("n_shingles").to_numpy()
+        return tab.select(["key", "block", "rep", "component", "is_hub", "halves"]).filter(pa.array(compared(*block_of(key, tab), size, percent, among)))
+
+    return rows.groupBy("key", "block").applyInArrow(run, "key long, block int, rep long, component long, is_hub boolean, halves array<long>")
+
+
+def block_joins(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The joins (a, b) of components by links between the rows of each block: those that
+    are `due`, with text_."""
+
+    def run(key, tab):
+        sets = [shingle_set(x.as_py(), words) for x in tab.column("text_")]
+        found = joined(*block_of(key, tab), sets, percent, key[1].as_py() == 0)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "block").applyInArrow(run, "a long, b long")
@@ -221,7 +244,9 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
     links = materialize(thinned(verified(pairs, texts, words, percent, pairs.count())), scratch(spark, "links"))
     linked = components(links)
     found = materialize(wanted.distinct().join(linked, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), scratch(spark, "components"))
-    turn, sets, n_nodes, members = 0, None, found.count(), members.select("key", "rep")
+    # half keys and sizes of a rep; where an id repeats, it has several
+    shapes = classes.select("rep", "halves", "n_shingles").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+    turn, n_nodes, members = 0, found.count(), members.select("key", "rep")
     while True:  # buckets whose members are in several components
         turn += 1
         labelled = materialize(members.join(found.withColumnRenamed("node", "rep"), "rep"), scratch(spark, "labelled"))
@@ -231,15 +256,15 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, side
         left = several.agg(F.sum("n_key")).first()[0] or 0
         if not left:
             return found
-        if sets is None:
-            sets = materialize(shingle_rows(texts, labelled.select("rep").distinct(), words, side), scratch(spark, "sets"))
         # a pair of two components has a member outside the bucket's largest one: those are the hubs
         chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < HUBS)
         open_ = skew_join(labelled, several, "key", F.col("rep"), left, counts="n_key").withColumn("is_hub", chosen).withColumn("blocks", F.ceil(F.col("n_key") / BLOCK).cast("int"))
         open_ = materialize(open_.select("key", "rep", "component", "is_hub", "blocks"), scratch(spark, "round"))
         own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = open_.withColumn("block", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-        new = materialize(block_joins(dealt.select("key", "block", "rep", "component", "is_hub").join(sets, "rep"), percent), scratch(spark, "joins"))
+        met = dealt.select("key", "block", "rep", "component", "is_hub").join(shapes, "rep").filter("array_contains(halves, key)")
+        met = materialize(due(met, percent), scratch(spark, "due"))
+        new = materialize(block_joins(met.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), words, percent), scratch(spark, "joins"))
         members = open_.filter("not is_hub").select("key", "rep")
         if not new.isEmpty():
             merged = materialize(components(new).select(F.col("component").alias("into"), F.col("node").alias("component")), scratch(spark, "merged"))
@@ -261,7 +286,7 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
     spark = docs.sparkSession
     side = side_for(percent)
     marks = materialize(signatures(docs, words, side, id_col, text_col), scratch(spark, "signatures"))
-    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.count(F.lit(1)).alias("n_class"))
+    classes = marks.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_class"))
     classes = materialize(classes, scratch(spark, "classes"))
     found = links_of(classes, docs, words, percent, side, id_col, text_col)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n_class", F.coalesce("component", "rep").alias("component"))

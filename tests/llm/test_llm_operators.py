@@ -213,6 +213,59 @@ def test_minhash_later_rounds_lose_no_link(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_minhash_deals_texts_only_where_a_comparison_is_due(spark, monkeypatch):
+    """Members of an open bucket that share a table's key with none there are not dealt with their texts."""
+    from quillmesh.llm import tensor_minhash as module
+
+    r = random.Random(33)
+    core = [f"core{i}" for i in range(60)]
+    texts = []
+    for i in range(120):  # far from each other, but many share a half key
+        w = core + [f"own{i}x{j}" for j in range(60)]
+        texts.append(" ".join(w))
+        if i % 4 == 0:
+            texts.append(" ".join(w[: len(w) - r.randrange(1, 4)]))
+    side = side_for(80)
+    sets = [shingle_set(t, 5) for t in texts]
+    halves = np.array([half_keys(x, side) for x in sets])
+    meet = (halves[:, None, side:] == halves[None, :, side:]).any(axis=2)
+    want = set()
+    for a, b in zip(*np.nonzero(np.triu(meet, 1)), strict=True):
+        want |= {(int(k), int(x)) for k in halves[a, :side][halves[a, :side] == halves[b, :side]] for x in (a, b)}
+    dealt = set()
+    real = module.block_joins
+    monkeypatch.setattr(module, "block_joins", lambda rows, *rest: dealt.update((x.key, x.rep) for x in rows.select("key", "rep").collect()) or real(rows, *rest))
+    got = {x.doc_id: x.component_id for x in minhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert dealt and dealt <= want
+    full = [set(x.tolist()) for x in sets]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(full[a] & full[b]) >= 80 * len(full[a] | full[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    assert [got[i] for i in range(len(texts))] == label
+
+
+@pytest.mark.parametrize("among", [True, False])
+def test_compared_rows_are_those_of_all_pairs(among):
+    from quillmesh.llm.tensor_minhash import compared
+
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        n, side, slot = 40, 4, 1
+        halves = r.integers(0, 12, (n, 2 * side))
+        halves[:, slot] = 99
+        component, hubs, size = r.integers(0, 9, n), r.random(n) < 0.3, r.integers(0, 12, n)
+        want = np.zeros(n, bool)
+        for a in range(n):
+            for b in range(n):
+                shares = halves[a] == halves[b]
+                if hubs[a] and a != b and (among or not hubs[b]) and component[a] != component[b] and min(size[a], size[b]) > 0 and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and shares[side:].any() and not shares[:slot].any():
+                    want[[a, b]] = True
+        assert (compared(component, hubs, halves, slot, size, 80, among) == want).all() and want.any() and not want.all()
+
+
 def test_half_keys_miss_rate():
     r = np.random.default_rng(3)
     side, missed = side_for(85), 0
