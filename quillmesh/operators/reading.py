@@ -14,7 +14,7 @@ POINT = "array<struct<key:int,pick:int,paragraph:int>>"
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs of a text (its lines that are not blank), each as an array of sentences."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(F.transform(lines, T.sentences), lambda p: F.size(p) > 0)
 
 
