@@ -21,7 +21,7 @@ def s02_fetch(spark, d):
     body = a.groupBy(F.col("source_id").alias("source"), "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda s: s.x), "").alias("x"))
     root = scratch(spark, "feeds")
     body.select("source", "part", F.concat(F.lit("<rss>"), "x", F.lit("</rss>")).alias("value")).write.partitionBy("source", "part").text(root)
-    there = body.select(F.concat(F.lit("source="), "source", F.lit("/part="), F.col("part").cast("string")).alias("feed"))
+    there = a.select("source_id", "part").distinct().select(F.concat(F.lit("source="), "source_id", F.lit("/part="), F.col("part").cast("string")).alias("feed"))
     names = there.union(read(spark, d, "supplier").select(F.concat(F.lit("source=none"), F.col("s_suppkey").cast("string"), F.lit("/part=0")))).orderBy("feed")
     fetched = materialize(feedscan.fetch_all(spark, root, [r.feed for r in names.collect()]), scratch(spark, "fetched"))  # the catalog of feeds: names alone
     parsed = feeds.repaired(fetched.filter("body is not null").select("feed", "body")).withColumn("kind", feeds.kind(F.col("body")))

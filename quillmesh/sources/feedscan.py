@@ -1,4 +1,4 @@
-"""Feeds as a data source: one partition a feed, bounded retries, a state in place of a failure.
+"""Feeds as a data source: a few feeds a partition, bounded retries, a state in place of a failure.
 
     spark.dataSource.register(FeedFiles)
     spark.read.format("feed_files").option("root", folder).option("feeds", json_list_of_names).load()
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_BYTES, RETRIES, TIMEOUT_S = 5_000_000, 2, 15.0
+#: Feeds have a partition each up to so many; beyond that neighbours share one, MOST_A_TASK at most, since a task takes longer to start than a feed to read.
+TASKS, MOST_A_TASK = 200, 64
 
 
-class Feed(InputPartition):
-    def __init__(self, place: int, name: str):
-        super().__init__((place, name))
-        self.place, self.name = place, name
+class Feeds(InputPartition):
+    def __init__(self, first: int, names: list[str]):
+        super().__init__((first, names))
+        self.first, self.names = first, names
 
 
 class FeedReader(DataSourceReader):
@@ -38,8 +40,9 @@ class FeedReader(DataSourceReader):
         self.feeds = json.loads(options["feeds"])
         self.most, self.retries, self.timeout = int(options.get("max_bytes", MAX_BYTES)), int(options.get("retries", RETRIES)), float(options.get("timeout", TIMEOUT_S))
 
-    def partitions(self) -> list[Feed]:
-        return [Feed(i, name) for i, name in enumerate(self.feeds)]
+    def partitions(self) -> list[Feeds]:
+        some = max(1, min(MOST_A_TASK, -(-len(self.feeds) // TASKS)))
+        return [Feeds(i, self.feeds[i : i + some]) for i in range(0, len(self.feeds), some)]
 
     def fetch(self, name: str) -> str:
         """The body of a feed; raises OSError, TimeoutError or ValueError."""
@@ -59,19 +62,22 @@ class FeedReader(DataSourceReader):
                 raise TimeoutError(name)
         return b"".join(out).decode("utf-8", "replace")
 
-    def read(self, partition: Feed | None) -> Iterator[tuple]:
+    def read(self, partition: Feeds | None) -> Iterator[tuple]:
         if partition is None:  # no feeds
             return
+        for place, name in enumerate(partition.names, partition.first):
+            yield self.outcome(place, name)
+
+    def outcome(self, place: int, name: str) -> tuple:
         state = "http_error"
         for attempt in range(1, self.retries + 2):
             try:
-                yield partition.place, partition.name, self.fetch(partition.name), None, attempt
-                return
+                return place, name, self.fetch(name), None, attempt
             except TimeoutError:
                 state = "timeout"
             except (OSError, ValueError):
                 state = "http_error"
-        yield partition.place, partition.name, None, state, self.retries + 1
+        return place, name, None, state, self.retries + 1
 
 
 class FeedFiles(DataSource):
@@ -92,7 +98,7 @@ def fetch_all(spark: SparkSession, root: str, names: list[str], **options: objec
     reader = spark.read.format("feed_files").option("root", root).option("feeds", json.dumps(names))
     for key, value in options.items():
         reader = reader.option(key, str(value))
-    return reader.load().orderBy("place")
+    return reader.load()  # partitions follow the list, so rows do
 
 
 def feed_states(fetched: DataFrame, items: DataFrame) -> DataFrame:

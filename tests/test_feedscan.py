@@ -26,3 +26,17 @@ def test_every_feed_gives_a_row(spark, tmp_path):
     assert {r.feed: (r.state, r.n_items) for r in states.collect()} == {"large": ("http_error", 0), "parts": ("ok", 1), "missing": ("http_error", 0), "one": ("ok", 1), "empty": ("empty", 0), "text": ("parse_error", 0), "broken": ("http_error", 0), "hollow": ("http_error", 0), "bytes": ("ok", 1)}
     assert feedscan.fetch_all(spark, f"file://{tmp_path}", ["one"], timeout=-1).first().state == "timeout"
     assert feedscan.fetch_all(spark, str(tmp_path), []).count() == 0
+
+
+def test_many_feeds_share_tasks_and_are_read_once(spark, tmp_path):
+    """5,000 feeds take some 200 tasks and no sort, in their order; a few have one each."""
+    ship(spark)
+    for i in range(0, 5000, 50):
+        (tmp_path / f"f{i}").write_text(f"<rss>{i}</rss>")
+    names = [f"f{i}" for i in range(5000)]
+    got = feedscan.fetch_all(spark, str(tmp_path), names, retries=0)
+    assert got.rdd.getNumPartitions() == feedscan.TASKS and "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert [(r.place, r.feed) for r in rows] == list(enumerate(names))
+    assert all(r.body == f"<rss>{r.place}</rss>" if r.place % 50 == 0 else r.state == "http_error" for r in rows)
+    assert feedscan.fetch_all(spark, str(tmp_path), names[:30]).rdd.getNumPartitions() == 30
