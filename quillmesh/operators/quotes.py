@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .items import first_by
+from .terms import found_labels
 
+#: Quotes of one automaton, some 10 KB each; beyond MOST of them texts and quotes meet by a join.
+SLICE, MOST = 5_000, 50_000
 WINDOW_S, LEAST_WORDS = 72 * 3600, 6
 
 
@@ -30,6 +33,18 @@ def contained(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str)
     return by_key.unionByName(texts.join(F.broadcast(short), F.col("t").contains(F.col("q"))).select(text_id, quote_id))
 
 
+def quoted(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str, most: int = MOST) -> DataFrame:
+    """As `contained`, for quotes that are few beside the texts: one scan of a text finds all that it holds."""
+    quotes = quotes.filter("q is not null")
+    if quotes.count() > most:
+        return contained(quotes, quote_id, texts, text_id)
+    kind = quotes.schema[quote_id].dataType.simpleString()
+    terms = quotes.select(F.col(quote_id).cast("string").alias("label"), F.lit("").alias("kind"), F.col("q").alias("term"))
+    met = found_labels(texts, terms, id_col=text_id, text_col="t", slice_=SLICE, whole=False, cased=True, fold=lambda text: text or "")
+    met = met.select(F.col("id").alias(text_id), F.col("label").cast(kind).alias(quote_id))
+    return met.unionByName(texts.filter("t is not null").select(text_id).join(F.broadcast(quotes.filter("q = ''").select(quote_id))))
+
+
 def fold(x: Column) -> Column:
     """Case, curly apostrophes and punctuation folded away, blanks collapsed."""
     return F.trim(F.regexp_replace(F.lower(F.translate(x, "’‘", "''")), r"[^\p{L}\p{N}_']+", " "))

@@ -250,6 +250,14 @@ def countries(texts: DataFrame, terms: DataFrame, **how: object) -> DataFrame:
     return folded_finds(texts, terms, named_countries, "country", plural=True, **how)
 
 
+def found_labels(texts: DataFrame, terms: DataFrame, **how: object) -> DataFrame:
+    """(id, label): the labels of which each text has a term, once each."""
+    out, *more = _scans(texts, terms, lambda m, text: [(x,) for x in {label for label, _ in m.parts(text)}], "label string", {"label": pa.string()}, **how)
+    for x in more:
+        out = out.union(x)
+    return out.distinct() if more else out
+
+
 def rule_parts(texts: DataFrame, rules: DataFrame, **how: object) -> DataFrame:
     """(id, rule, parts): the rules of which a text has a term, with the parts whose terms it has."""
     terms = rules.select(F.col("rule").alias("label"), F.col("part").alias("kind"), "term")

@@ -33,3 +33,15 @@ def test_one_post_within_the_interval(spark):
     got = sources_of(spark.createDataFrame(versions, "id long, published_s long, text string"), spark.createDataFrame(posts, "url string, published_s long, text string"))
     # 2: `old` is 79 hours before it. 6: the first span stands in two posts, the second is too short.
     assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (3, "a"), (7, "b")]
+
+
+def test_texts_are_scanned_for_quotes_and_not_cut_into_runs(spark, tmp_path):
+    """No row is made for each run of a text's words; nulls, empty quotes, case and two quotes of the same words count as in the SQL."""
+    docs = [(1, "A Red FOX jumps. " + "word " * 2000), (2, None), (3, ""), (4, "éa red foxes")]
+    items = [(1, "red fox"), (2, "RED FOX"), (3, None), (4, "ÉA"), (5, ""), (6, "word " * 1999)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = registry.QUERIES["j06_quote_archive"](spark, str(tmp_path))
+    want = sorted((i, j) for i, t in docs for j, q in items if t is not None and q is not None and q.lower() in t.lower())
+    assert sorted((r.doc_id, r.item_id) for r in df.collect()) == want and (3, 5) in want
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
