@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.items import first_by
+from quillmesh.operators.likeness import likeness
 from quillmesh.operators.poolfill import fill_pool
 from quillmesh.operators.ranking import run_passes, score_terms, select_pool
 from quillmesh.operators.order import placed
@@ -156,9 +157,10 @@ def w07(spark, d):
 
 @query("w08_anchor", with_tables("articles", "members", also="s AS (SELECT cluster_id, id, list_distinct(string_split(lower(title), ' ')) AS w FROM members JOIN articles ON article_id = id)") + "SELECT cluster_id, id FROM (SELECT a.cluster_id, a.id, sum(round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9)) AS s FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.id <> b.id GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY round(s, 6) DESC, id) = 1")
 def w08(spark, d):
+    """The member whose title is most like the others'; all pairs of a cluster, counted by the words they share."""
+    ship(spark)
     s = members(spark, d).join(articles(spark, d), F.col("article_id") == F.col("id")).select("cluster_id", "id", F.array_distinct(F.split(F.lower("title"), " ")).alias("w"))
-    o = s.select("cluster_id", F.col("id").alias("other"), F.col("w").alias("x"))
-    j = s.join(o, "cluster_id").filter("id <> other").groupBy("cluster_id", "id").agg(F.sum(F.round(T.jaccard(F.col("w"), F.col("x")), 9)).alias("s"))
+    j = likeness(s, "cluster_id", "id", "w")
     return first_by(j, ["cluster_id"], F.desc(F.round("s", 6)), F.col("id")).select("cluster_id", "id")
 
 
