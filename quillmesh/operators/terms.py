@@ -10,7 +10,6 @@ text, made where it is read: a task holds the finds of one text and AT_ONCE rows
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
@@ -27,8 +26,11 @@ AT_ONCE = 20_000
 LOWER_EDGE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 CASED_EDGE = LOWER_EDGE | frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PLAIN_MARKS = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": " ", " ": " "})
-MARKS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+#: No combining character is below U+0300; those that text mostly has are told by the pattern alone.
+MARKS, HIGH = re.compile("[\u0300-\u034e\u0350-\u036f]+"), re.compile("[\u0370-\U0010ffff\u034f]+")
 WORDS = re.compile(r"[^\W_]+")
+#: Before and after a run of letters and digits.
+MARKED, RUN = "\x00\x01", "\x00\\g<0>\x01"
 FIELDS = ("start", "end", "size", "label", "kind", "term")
 FOUND = "array<struct<start:int,end:int,size:int,label:string,kind:string,term:string>>"
 
@@ -38,6 +40,7 @@ def plain_text(text: str | None) -> str:
     out = text or ""
     if not out.isascii():
         out = MARKS.sub("", unicodedata.normalize("NFKD", out))
+        out = HIGH.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), out)
         for mark, plain in PLAIN_MARKS.items():
             out = out.replace(chr(mark), plain)
     return " ".join(out.split())
@@ -59,12 +62,25 @@ class Terms:
             key = self.read(term)
             if key:
                 by_term.setdefault(key, []).append((label, kind))
-        self.trie = ahocorasick.Automaton()
-        for key, of in by_term.items():
-            self.trie.add_word(key, (key, sorted(set(of))))
-        if by_term:
-            self.trie.make_automaton()
-        self.some = bool(by_term)
+        self.by_term = {key: sorted(set(of)) for key, of in by_term.items()}
+        self.run = re.compile("[A-Za-z0-9]+" if cased else "[a-z0-9]+")
+        # Runs of what `edge` knows are marked in texts, and in the terms that begin and end with such a run or with a sign, so that nothing within a run is met.
+        fits = lambda key: whole and all(c in self.edge or not c.isalnum() for c in (key[0], key[-1])) and not any(m in key for m in MARKED)
+        forms: dict[str, list[tuple[str, int]]] = {}
+        for key in filter(fits, self.by_term):
+            for tail in ("", "s", "es") if plural and key[-1].isalnum() else ("",):
+                forms.setdefault(self.run.sub(RUN, key + tail), []).append((key, len(key) + len(tail)))
+        self.marked = self._automaton(forms)
+        self.odd = self._automaton({key: key for key in self.by_term if not fits(key)})
+        self._plain: ahocorasick.Automaton | None = None
+
+    def _automaton(self, terms: dict[str, object]) -> ahocorasick.Automaton | None:
+        trie = ahocorasick.Automaton()
+        for written, value in terms.items():
+            trie.add_word(written, value)
+        if terms:
+            trie.make_automaton()
+        return trie if terms else None
 
     def read(self, text: str | None) -> str:
         out = self.fold(text)
@@ -90,22 +106,40 @@ class Terms:
             end = self._end(text, end) if key[-1].isalnum() else end
         return None if end < 0 else (start, end)
 
+    def _read_plainly(self, trie: ahocorasick.Automaton | None, text: str) -> Iterator[tuple[int, int, str]]:
+        for last, key in trie.iter(text) if trie else ():
+            if at := self._span(text, last, key):
+                yield *at, key
+
+    def _met(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, term) of every find in a text read."""
+        if any(m in text for m in MARKED):
+            self._plain = self._plain or self._automaton({key: key for key in self.by_term})
+            yield from self._read_plainly(self._plain, text)
+            return
+        yield from self._read_plainly(self.odd, text)
+        if not self.marked:
+            return
+        text = self.run.sub(RUN, text)
+        seen = marks = 0
+        for last, forms in self.marked.iter(text):
+            marks += text.count(MARKED[0], seen, last + 1) + text.count(MARKED[1], seen, last + 1)
+            seen = last + 1
+            for key, size in forms:
+                yield seen - marks - size, seen - marks, key
+
     def find(self, text: str | None) -> list[tuple[int, int, int, str, str, str]]:
         """(start, end, length without plural, label, kind, term) of every find, by start, the longest first."""
-        text = self.read(text)
-        out = []
-        for last, (key, of) in self.trie.iter(text) if self.some else ():
-            if at := self._span(text, last, key):
-                out += [(*at, len(key), label, kind, key) for label, kind in of]
-        return sorted(out, key=lambda x: (x[0], -x[2], x[5], x[3], x[4]))
+        found = [(start, end, len(key), label, kind, key) for start, end, key in self._met(self.read(text)) for label, kind in self.by_term[key]]
+        return sorted(found, key=lambda x: (x[0], -x[2], x[5], x[3], x[4]))
 
     def parts(self, text: str | None) -> set[tuple[str, str]]:
         """(label, kind) of the terms that a text has, however often."""
-        text, seen, out = self.read(text), set(), set()
-        for last, (key, of) in self.trie.iter(text) if self.some else ():
-            if key not in seen and self._span(text, last, key):
+        seen, out = set(), set()
+        for _, _, key in self._met(self.read(text)):
+            if key not in seen:
                 seen.add(key)
-                out.update(of)
+                out.update(self.by_term[key])
         return out
 
 

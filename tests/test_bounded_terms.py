@@ -51,3 +51,27 @@ def test_folds_are_the_same_for_one_slice_and_for_several(spark):
     names = table.filter("kind <> 'exclude'").replace({"strong": "name", "weak": "name"}, subset="kind")
     one, several = (sorted(tuple(x) for x in T.countries(df, names, slice_=n).collect()) for n in (T.SLICE, 2))
     assert one == several and one
+
+
+def test_a_scan_meets_whole_terms_alone():
+    """Within words a term is not met at all, and finds stand where a scan of the text as it is has them: beside marks, letters that no edge knows, and plurals that are terms too."""
+    r = random.Random(23)
+    pieces = ["a", "e", "es", "s", "as", "ß", "æ", "é", "S$", "5", ".", " ", " ", "\x00", "x"]
+    met = 0
+    for k in range(300):
+        terms = [("L", "k", "".join(r.choice(pieces) for _ in range(r.randrange(1, 4)))) for _ in range(8)]
+        text = "".join(r.choice(pieces[: 13 if k % 4 else 15]) for _ in range(60))
+        for cased in (False, True):
+            m = T.Terms(terms, plural=True, cased=cased)
+            base = m.read(text)
+            want = []
+            for key in m.by_term:
+                for at in range(len(base)):
+                    if base.startswith(key, at) and (span := m._span(base, at + len(key) - 1, key)):
+                        want.append((*span, len(key), "L", "k", key))
+            got = m.find(text)
+            assert sorted(got) == sorted(want), (terms, text)
+            met += len(got)
+    assert met > 2000
+    m = T.Terms([("L", "k", "a")], plural=True)
+    assert sum(1 for _ in m.marked.iter(m.run.sub(T.RUN, "banana as alaska a"))) == 2
